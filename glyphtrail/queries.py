@@ -15,8 +15,10 @@ from .functions import coordinates as C
 from .functions import geometry as G
 from .functions import stats as S
 from .functions import text as T
-from .operators import blocks, drift, lifecycle, match, merge, overlap, spatial
+from .operators import blocks, classify, drift, lifecycle, match, merge, overlap, spatial
 from .operators.blocks import side
+from .plans import paragraphs, replay, reports
+from .sources import captures
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -701,3 +703,140 @@ def q_capture_boxes(spark: SparkSession, d: str) -> DataFrame:
     """Bounding box and mean confidence of every capture."""
     e = [F.get("rect", F.lit(i)) for i in range(4)]
     return table(spark, d, "obs_blocks").groupBy("session_id", "cap").agg(F.count(F.lit(1)).alias("blocks"), _r(F.min(e[0]), 4).alias("l"), _r(F.min(e[1]), 4).alias("t"), _r(F.max(e[2]), 4).alias("r"), _r(F.max(e[3]), 4).alias("b"), _r(F.avg("pconf")).alias("pconf"))
+
+
+# --- order-dependent plans and reports -----------------------------------------------------
+
+
+def _replayed(spark: SparkSession, d: str, arms: dict | None = None) -> DataFrame:
+    return replay.replay(_obs(spark, d), arms, table(spark, d, "captures"))
+
+
+@query()
+def q_track_session(spark: SparkSession, d: str) -> DataFrame:
+    """ST1-ST6, ST8-ST12, D4, D5: the decision of every merge of every session."""
+    log = _replayed(spark, d).where("event = 'merge'")
+    return log.select("session_id", "cap", "how", "fresh_id", "track", _r("dx").alias("dx"), _r("dy").alias("dy"), "obs_before", _r("pconf").alias("pconf"), _r("tconf").alias("tconf"), "response")
+
+
+@query()
+def q_track_census(spark: SparkSession, d: str) -> DataFrame:
+    """A16, A18, ST9, ST10, A25: census, shift and state digest of every capture."""
+    log = _replayed(spark, d).where("event = 'capture'")
+    return log.select("session_id", "cap", "merged", "admitted", "retained", "dropped", "contradictions", "invalidated", "settled", _r("shift_x").alias("shift_x"), _r("shift_y").alias("shift_y"), "shift_members", _r("scale").alias("scale"), "digest")
+
+
+@query()
+def q_ab_bands(spark: SparkSession, d: str) -> DataFrame:
+    """A22, ST15, ST17: movement by maturity under every arm."""
+    return reports.displacement_bands(_replayed(spark, d, replay.ARMS))
+
+
+@query()
+def q_arm_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Confidence, saturation, lag and step events of every arm."""
+    return reports.arm_summary(_replayed(spark, d, replay.ARMS))
+
+
+@query()
+def q_arm_digests(spark: SparkSession, d: str) -> DataFrame:
+    """One digest for each arm."""
+    return reports.arm_digests(_replayed(spark, d, replay.ARMS))
+
+
+@query()
+def q_half_of_damp(spark: SparkSession, d: str) -> DataFrame:
+    """Arms that halve the lag of damping."""
+    return reports.half_of_damp(_replayed(spark, d, replay.ARMS))
+
+
+@query()
+def q_capture_series(spark: SparkSession, d: str) -> DataFrame:
+    """Lag, step events and identity share of every capture."""
+    return reports.capture_series(_replayed(spark, d), table(spark, d, "captures"))
+
+
+@query("""
+WITH h AS (SELECT session_id, count(*) AS freezes, count(*) FILTER (differs) AS differing, count(*) FILTER (differs AND freshtconf >= 0.8 AND NOT isnan(freshtconf)) AS confident_discards, count(*) FILTER (remaining <= 1) AS expiring FROM freezes GROUP BY session_id),
+m AS (SELECT session_id, count(*) AS merges FROM merges GROUP BY session_id)
+SELECT session_id, coalesce(merges, 0) AS merges, coalesce(freezes, 0) AS freezes, coalesce(differing, 0) AS differing, coalesce(confident_discards, 0) AS confident_discards, coalesce(expiring, 0) AS expiring,
+  round(coalesce(freezes, 0) * 1000 / (coalesce(freezes, 0) + coalesce(merges, 0))) / 1000 AS frozen_share FROM m FULL JOIN h USING (session_id)""")
+def q_freeze_report(spark: SparkSession, d: str) -> DataFrame:
+    """The freeze funnel of every session."""
+    return reports.freeze_report(table(spark, d, "freezes"), table(spark, d, "merges"))
+
+
+@query("""
+WITH x AS (SELECT session_id, 'engine' AS t FROM captures UNION ALL SELECT session_id, 'merge' FROM merges UNION ALL SELECT session_id, 'freeze' FROM freezes)
+SELECT session_id, count(*) FILTER (t = 'engine') AS engine, count(*) FILTER (t = 'merge') AS merge, count(*) FILTER (t = 'freeze') AS freeze,
+  CASE WHEN count(*) FILTER (t <> 'engine') <> 0 THEN round(count(*) FILTER (t = 'freeze') * 1000 / count(*) FILTER (t <> 'engine')) / 1000 END AS frozen_share FROM x GROUP BY session_id""")
+def q_live_report(spark: SparkSession, d: str) -> DataFrame:
+    """Event counts of every session."""
+    return reports.live_report(table(spark, d, "merges"), table(spark, d, "freezes"), table(spark, d, "captures"))
+
+
+@query()
+def q_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    """ST13, G21, R2: paragraph and position of every block."""
+    return paragraphs.paragraphs(_obs(spark, d))
+
+
+@query()
+def q_paragraph_decisions(spark: SparkSession, d: str) -> DataFrame:
+    """Every boundary decision of the grouping with all reasons."""
+    out = paragraphs.decisions(_obs(spark, d))
+    return out.select("session_id", "cap", "id", "accepted", F.array_join("reasons", ",").alias("reasons"), "length", _r("gap").alias("gap"), _r("threshold").alias("threshold"))
+
+
+@query()
+def q_pregroup(spark: SparkSession, d: str) -> DataFrame:
+    """Captures rewritten as paragraph units."""
+    obs = _obs(spark, d)
+    return captures.pregroup(obs, paragraphs.paragraphs(obs)).select("session_id", "cap", "paragraph", *[_r(e).alias(e) for e in "ltrb"], "text", _r("pconf").alias("pconf"), _r("tconf").alias("tconf"), "members")
+
+
+def _geometry(spark: SparkSession, d: str) -> DataFrame:
+    """Capture geometry on the recorded viewports: a fixed header, a side rail to leave
+    out, and one carousel."""
+    view = table(spark, d, "sessions").select("session_id", F.coalesce(F.get("vp", F.lit(0)), F.lit(800.0)).alias("w"), F.coalesce(F.get("vp", F.lit(1)), F.lit(900.0)).alias("h"))
+    rect = lambda *e: F.array(*[x if isinstance(x, Column) else F.lit(float(x)) for x in e])
+    rows = table(spark, d, "captures").select("session_id", "cap").distinct().join(view, "session_id")
+    return rows.select(
+        "session_id", "cap", F.lit(2.0).alias("scale"), F.lit(0.0).alias("scroll_x"), F.lit(120.0).alias("scroll_y"), F.lit(40.0).alias("page_top"), F.col("h").alias("view_height"),
+        F.struct(F.lit(400.0).alias("top"), F.lit(200.0).alias("height"), F.lit("list").alias("cid")).alias("inner"),
+        F.array(F.struct(rect(0, 0, F.col("w"), 60).alias("rect"), F.lit(False).alias("fixed"))).alias("sticky"), F.array(rect(0, 900, 120, 1200)).alias("exclusions"),
+        F.array(F.struct(rect(0, 600, F.col("w"), 700).alias("rect"), F.lit(80.0).alias("scroll_left"), (F.col("cap") % 2 == 0).alias("animating"))).alias("carousels"), F.lit(650).alias("age_ms"),
+    )
+
+
+@query("""
+WITH v AS (SELECT session_id, coalesce(vp[1], 800) AS w, coalesce(vp[2], 900) AS vh FROM sessions),
+g AS (SELECT DISTINCT c.session_id, c.cap, w, vh FROM captures c JOIN v USING (session_id)),
+x AS (SELECT o.session_id, o.cap, o.block_id AS id, rect[1] * 0.5 AS l, rect[2] * 0.5 AS t, rect[3] * 0.5 AS r, rect[4] * 0.5 AS b, tconf, w, vh FROM obs_blocks o JOIN g USING (session_id, cap) WHERE otext IS NOT NULL AND tconf IS NOT NULL),
+c AS (SELECT *, l + (r - l) / 2 AS cx, t + (b - t) / 2 AS cy, b - t AS h, (r - l) * (b - t) AS area, greatest(least(r, w) - greatest(l, 0), 0) * greatest(least(b, 60) - greatest(t, 0), 0) AS top_area, greatest(least(r, 120) - greatest(l, 0), 0) * greatest(least(b, 1200) - greatest(t, 900), 0) AS rail FROM x),
+q AS (SELECT session_id, cap, list_sort(list(h)) AS hs, count(*) AS n FROM c GROUP BY ALL),
+f AS (SELECT session_id, cap, n, list_aggregate(hs[1:n // 2], 'median') AS q1, list_aggregate(hs[n - n // 2 + 1:n], 'median') AS q3, hs[1] AS low, hs[n] AS high FROM q),
+k AS (SELECT session_id, cap, CASE WHEN n >= 4 AND CASE WHEN q3 - q1 = 0 THEN (high - low) / 4 ELSE q3 - q1 END > 0 THEN q3 + (CASE WHEN n < 15 THEN 2.2 ELSE 1.5 END) * CASE WHEN q3 - q1 = 0 THEN (high - low) / 4 ELSE q3 - q1 END END AS fence FROM f),
+s AS (SELECT c.*, fence, cx >= 0 AND cx <= w AND cy >= 0 AND cy <= 60 AND top_area / area >= 0.5 AS sticky, CASE WHEN cx >= 0 AND cx <= w AND cy >= 600 AND cy <= 700 THEN 0 ELSE -1 END AS lane FROM c JOIN k USING (session_id, cap)),
+i AS (SELECT *, NOT sticky AND cy >= 360 AND cy < 560 AS inner_ FROM s),
+z AS (SELECT *, CASE WHEN sticky THEN 0 WHEN lane >= 0 THEN 80 ELSE 0 END AS dx, CASE WHEN sticky THEN 0 WHEN inner_ THEN 120 ELSE 40 END AS dy FROM i)
+SELECT session_id, cap, id, CASE WHEN NOT sticky AND rail / area >= 0.5 THEN 'excluded' WHEN NOT sticky AND lane >= 0 AND cap % 2 = 0 THEN 'deferred' WHEN h > greatest(coalesce(fence, 0.6 * vh), 0.3 * vh) THEN 'too_tall' ELSE 'classified' END AS fate,
+  CASE WHEN sticky THEN 'viewport' WHEN inner_ THEN 'inner' ELSE 'page' END AS kind, CASE WHEN sticky THEN -1 ELSE lane END AS hz, sticky AS from_sticky, CASE WHEN inner_ THEN 'list' END AS cid,
+  round(l + dx, 6) AS l, round(t + dy, 6) AS t, round(r + dx, 6) AS r, round(b + dy, 6) AS b, round(0.5 * (1 - 450 / 1800.0::DOUBLE * 0.7) + 0.25, 6) AS pconf, round(tconf, 6) AS tconf FROM z""")
+def q_classify(spark: SparkSession, d: str) -> DataFrame:
+    """Observations as groups of a capture at twice the page's scale."""
+    e = [F.get("rect", F.lit(i)).alias(n) for i, n in enumerate("ltrb")]
+    groups = table(spark, d, "obs_blocks").where("otext is not null and tconf is not null").select("session_id", "cap", F.col("block_id").alias("id"), *e, F.col("otext").alias("text"), F.col("tconf").alias("conf"))
+    return classify.classify(groups, _geometry(spark, d))
+
+
+@query("""
+SELECT session_id, cap, seq, round(rect[1], 6) AS l, otext, pconf, coalesce(srcq, 0) AS srcq FROM (
+  SELECT *, row_number() OVER (PARTITION BY session_id, cap ORDER BY seq, block_id) AS place FROM obs_blocks)""")
+def q_jsonl_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Captures written as JSON lines and read again."""
+    lines = captures.to_lines(table(spark, d, "obs_blocks"))
+    back = captures.blocks(captures.records(lines.drop("cap")), ["session_id"]).withColumnRenamed("seq", "place")
+    order = Window.partitionBy("session_id", "cap").orderBy("seq", "block_id")
+    seqs = table(spark, d, "obs_blocks").select("session_id", "cap", "seq", (F.row_number().over(order) - 1).alias("place"))
+    return back.join(seqs, ["session_id", "cap", "place"]).select("session_id", "cap", "seq", _r(F.get("rect", F.lit(0))).alias("l"), "otext", "pconf", "srcq")
