@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphtrail.plans.replay import _COLUMNS, _NAMES, SCHEMA, block_of, log_rows
+from glyphtrail.plans.replay import _COLUMNS, _LOG, _NAMES, SCHEMA, block_of, log_rows
 from glyphtrail.plans.tracker import Config, Session
 
 INPUT = ("session_id", "cap", "seq", *_COLUMNS, "last")
@@ -35,8 +35,9 @@ def _advance(key: tuple, frames: Iterator[pd.DataFrame], state, config: Config)
         out += log_rows(key[0], "stream", cap, result)
     state.update((session.dump(), json.dumps([r for r in held if r["cap"] not in closed])))
     frame = pd.DataFrame(out, columns=_NAMES)
-    for name in ("cap", "fresh_id", "track", "obs_before", "remaining", "merged", "admitted", "retained", "dropped", "contradictions", "invalidated", "settled", "shift_members"):
-        frame[name] = frame[name].astype("Int64" if name in ("fresh_id", "track") else "Int32")
+    for name, kind in _LOG:
+        # Plain object columns for text: chunked string arrays are not accepted here.
+        frame[name] = frame[name].astype({"string": object, "int32": "Int32", "int64": "Int64"}.get(str(kind), "float64"))
     yield frame
 
 
