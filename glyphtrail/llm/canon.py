@@ -74,7 +74,8 @@ def fold(text: str) -> str:
     return unicodedata.normalize("NFC", unicodedata.normalize("NFD", read))
 
 
-_BACK: dict[str, dict[str, str]] = {script: {b: a for a, b in zip(*LOOKALIKES[script])} for script in ("cyrillic", "greek")}
+#: The usual letter of a script for each Latin one; the first listed wins.
+_BACK: dict[str, dict[str, str]] = {script: {b: a for a, b in reversed(list(zip(*LOOKALIKES[script])))} for script in ("cyrillic", "greek")}
 
 
 def _own_script(token: str) -> str | None:

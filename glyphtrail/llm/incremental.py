@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from glyphtrail.context import cut_lineage
+
 from . import placement
 
 #: An edit distance of at most 1 / SHARE of the longer text.
@@ -218,7 +220,8 @@ class HistoryIndex:
             touched = [r[0] for r in visiting.select(F.pmod("cell", F.lit(self.buckets)).cast("int")).distinct().collect()]  # at most ``buckets``
             living = stored.where(F.col("bucket").isin(touched)).drop("bucket")
             found = placement.meet(living, visiting, "id").select("cell", "part", "side", *_FIELDS).mapInArrow(_match_history, "id long").distinct()
-        found = found.persist()
-        repeats = found.unionByName(match_arrivals(fresh.join(found, "id", "left_anti"))).persist()
+        found = cut_lineage(found)
+        # Written before the append: appending changes the folder that ``found`` reads.
+        repeats = cut_lineage(found.unionByName(match_arrivals(fresh.join(found, "id", "left_anti"))))
         self.append(fresh.join(repeats, "id", "left_anti"))
         return repeats.select(F.col("id").alias(new_id))

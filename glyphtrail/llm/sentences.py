@@ -103,9 +103,9 @@ COMMON: list[tuple[bool, str, str]] = [
     (BREAK, rf"{_any(CLOSING)}\.{CLOSERS}*", rf"{GAP}+"),
     # Initials.
     (KEEP, r"(?<![\p{L}\p{M}\p{N}])\p{Lu}\.", rf"{GAP}+\p{{Lu}}"),
-    (KEEP, rf"{END_MARKS}[\p{{Cf}}]*(?:[   ]?{CLOSERS})*", rf"{GAP}*[—–-]?{GAP}*[\p{{Ll}},;:]"),
+    (KEEP, rf"{END_MARKS}[\p{{Cf}}]*{TAIL}", rf"{GAP}*[—–-]?{GAP}*[\p{{Ll}},;:]"),
     (BREAK, rf"[。！？｡।॥؟۔]{CLOSERS}*", r"(?s:.|$)"),
-    (BREAK, rf"{END_MARKS}(?:[   ]?{CLOSERS})*", rf"{GAP}|$"),
+    (BREAK, rf"{END_MARKS}{TAIL}", rf"{GAP}|$"),
 ]
 
 SCRIPTS = {
@@ -125,7 +125,7 @@ _SCRIPT = {
     "thai": regex.compile(r"\p{Thai}"),
 }
 _PARAGRAPH = regex.compile(r"(?:\r\n?|\n)(?:[^\S\r\n]*(?:\r\n?|\n))+")
-_CANDIDATE = regex.compile(rf"{END_MARKS}+(?:[   ]?{CLOSERS})*")
+_CANDIDATE = regex.compile(rf"{END_MARKS}+{TAIL}")
 _THAI_GAP = regex.compile(r"(?<=\S)(?=[ \t 　]+\S)")
 _INVISIBLE = regex.compile(r"\p{Cf}")
 _WIDE = {c: c - 0xFEE0 for c in [*range(0xFF10, 0xFF1A), *range(0xFF21, 0xFF3B), *range(0xFF41, 0xFF5B)]}
