@@ -229,3 +229,129 @@ def percentiles(digests: DataFrame, keys: list[str], quantiles: tuple[float, ...
     schema = ", ".join([*(f"`{x}` string" for x in named), "q double, value double, n long, rank_low long, rank_high long"])
     out = rows.select(*named, "node", "count").repartition(*named).sortWithinPartitions(*named).mapInArrow(run, schema)
     return out if keys else out.drop("_all")
+
+
+#: Between the parts of a group's key, and in place of a null part.
+_CUT, _NULL = "\x1f", "\x00"
+
+
+class _Folder:
+    """Counts of (group, node) of one task, compressed whenever they grow large."""
+
+    def __init__(self, k: int, limit: int = 2_000_000) -> None:
+        self.k, self.limit, self.names, self.parts, self.size = k, limit, {}, [], 0
+
+    def add(self, group: np.ndarray, node: np.ndarray, count: np.ndarray | None = None) -> None:
+        order = np.lexsort((node, group))
+        g, x = group[order], node[order]
+        first = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (x[1:] != x[:-1])]))
+        counts = np.diff(np.append(first, len(g))) if count is None else np.add.reduceat(count[order], first)
+        self.parts.append((g[first], x[first], counts))
+        self.size += len(first)
+        if self.size > self.limit:
+            folded = self.fold()
+            self.parts, self.size = [folded], len(folded[0])
+            self.limit = max(self.limit, 2 * self.size)
+
+    def fold(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return compress(*(np.concatenate(p) for p in zip(*self.parts)), self.k)
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        if not self.parts:
+            return
+        g, x, c = self.fold()
+        names = pa.array(list(self.names), pa.string())
+        for at in range(0, len(g), 50_000):
+            part = slice(at, at + 50_000)
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(g[part])), pa.array(x[part]), pa.array(c[part].astype(np.int64))], names=["key", "node", "count"])
+
+
+def build_scopes(values: DataFrame, base: list[str], scopes: dict[str, str | None], value: str, epsilon: float = EPSILON) -> DataFrame:
+    """Partial digests (key, node, count) of several groupings in one pass over the rows.
+
+    A group is a scope's name, the ``base`` columns and the scope's own column, if any.
+    Every task folds its rows into all scopes and emits compressed nodes, so a coarse
+    group costs at most 3k nodes a task, however many rows it has.
+    """
+    k = factor(epsilon)
+    extra = [c for c in scopes.values() if c]
+    columns = [*base, *extra]
+    number = F.col(value).cast("double")
+    rows = values.select(*[F.coalesce(F.col(c).cast("string"), F.lit(_NULL)).alias(c) for c in columns], number.alias("value")).where(number.isNotNull() & ~F.isnan(number))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        folder = _Folder(k)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            node = quantize(batch.column(len(columns)).to_numpy(zero_copy_only=False)) + (1 << BITS)
+            coded = {c: batch.column(i).dictionary_encode() for i, c in enumerate(columns)}
+            code = {c: (a.indices.to_numpy(zero_copy_only=False).astype(np.int64), a.dictionary.to_pylist()) for c, a in coded.items()}
+            for scope, own in scopes.items():
+                used = [*base, *([own] if own else [])]
+                joint = np.zeros(len(node), np.int64)
+                for c in used:
+                    joint = joint * len(code[c][1]) + code[c][0]
+                _, spot, back = np.unique(joint, return_index=True, return_inverse=True)
+                ids = [folder.names.setdefault(_CUT.join([scope, *(code[c][1][code[c][0][i]] for c in used)]), len(folder.names)) for i in spot]
+                folder.add(np.array(ids, np.int64)[back], node)
+        yield from folder.batches()
+
+    return rows.mapInArrow(run, "key string, node long, count long")
+
+
+def _by_runs(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[list[str], np.ndarray, np.ndarray, np.ndarray]]:
+    """(keys, group numbers, nodes, counts) of whole groups of rows sorted by key."""
+    held: list[tuple] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.array(batch.column(0).to_pylist(), object)
+        held.append((key, batch.column(1).to_numpy(), batch.column(2).to_numpy()))
+        if key[0] == key[-1] == held[0][0][0] and len(held) > 1:
+            if sum(len(h[1]) for h in held) > 2_000_000:  # one very large group: compress what is read
+                _, x, c = compress(np.zeros(sum(len(h[1]) for h in held), np.int64), *(np.concatenate(p) for p in zip(*(h[1:] for h in held))), k)
+                held = [(np.full(len(x), key[0], object), x, c)]
+            continue
+        key, node, count = (np.concatenate(p) for p in zip(*held))
+        whole = int(np.searchsorted(key != key[-1], False)) if key[0] != key[-1] else 0
+        if whole:
+            yield _numbered(key[:whole], node[:whole], count[:whole])
+        held = [(key[whole:], node[whole:], count[whole:])]
+    if held:
+        yield _numbered(*(np.concatenate(p) for p in zip(*held)))
+
+
+def _numbered(key: np.ndarray, node: np.ndarray, count: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    start = np.concatenate([[True], key[1:] != key[:-1]])
+    return key[start].tolist(), np.cumsum(start) - 1, node, count
+
+
+def scoped_percentiles(partials: DataFrame, names: list[str], quantiles: tuple[float, ...] = QUANTILES, salts: int = 16, epsilon: float = EPSILON) -> DataFrame:
+    """Rows (scope, names..., q, value, n, rank_low, rank_high) of partial digests.
+
+    ``names`` label the parts of a key after its scope; scopes without their own column
+    get 'all' there. Partials of a group are added and compressed per salt first, so that
+    the last step reads at most ``salts`` compressed digests of one group.
+    """
+    k = factor(epsilon)
+
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, g, x, c in _by_runs(batches, k):
+            g, x, c = compress(g, x, c, k)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()).take(pa.array(g)), pa.array(x), pa.array(c.astype(np.int64))], names=["key", "node", "count"])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, g, x, c in _by_runs(batches, k):
+            at = np.searchsorted(g, np.arange(len(keys) + 1))
+            rows = [(key, *row) for i, key in enumerate(keys) for row in ask(x[at[i] : at[i + 1]], c[at[i] : at[i + 1]], quantiles)]
+            types = [pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(col, t) for col, t in zip(zip(*rows), types)], names=["key", "q", "value", "n", "rank_low", "rank_high"])
+
+    salt = F.pmod(F.xxhash64("node"), F.lit(salts))
+    placed = partials.withColumn("salt", salt).repartition("key", "salt").sortWithinPartitions("salt", "key").select("key", "node", "count")
+    merged = placed.mapInArrow(squeeze, "key string, node long, count long")
+    rows = merged.repartition("key").sortWithinPartitions("key").mapInArrow(answer, "key string, q double, value double, n long, rank_low long, rank_high long")
+    part = F.split("key", _CUT)
+    pick = [F.coalesce(F.get(part, F.lit(i + 1)), F.lit("all")).alias(n) for i, n in enumerate(names)]
+    return rows.select(F.get(part, F.lit(0)).alias("scope"), *[F.nullif(p, F.lit(_NULL)).alias(n) for p, n in zip(pick, names)], "q", "value", "n", "rank_low", "rank_high")

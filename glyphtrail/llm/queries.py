@@ -60,15 +60,9 @@ def _measures(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    """Percentiles per session, per day and overall, all from one set of partial digests."""
-    parts = qdigest.build(_measures(spark, d), ["field_name", "session_id", "day"], "value").persist()
-    out = None
-    for scope, keys in (("session", ["field_name", "session_id"]), ("day", ["field_name", "day"]), ("overall", ["field_name"])):
-        rows = qdigest.percentiles(qdigest.roll_up(parts, keys), keys)
-        group = F.col(keys[1]) if len(keys) > 1 else F.lit("all")
-        rows = rows.select(F.lit(scope).alias("scope"), "field_name", group.alias("group_id"), "q", "value", "n", "rank_low", "rank_high")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    """Percentiles per session, per day and overall, from partial digests of one pass."""
+    parts = qdigest.build_scopes(_measures(spark, d), ["field_name"], {"session": "session_id", "day": "day", "overall": None}, "value")
+    return qdigest.scoped_percentiles(parts, ["field_name", "group_id"])
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

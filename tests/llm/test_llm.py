@@ -136,6 +136,20 @@ def test_percentiles_edges(spark):
     assert qdigest.percentiles(qdigest.build(df.limit(0), ["g"], "v"), ["g"]).count() == 0
 
 
+def test_scopes_in_one_pass(spark):
+    rng = random.Random(8)
+    rows = [("dx", rng.choice("abc"), rng.choice(("mon", None)), rng.gauss(0, 9)) for _ in range(900)] + [("dy", "a", "mon", 7.0), ("dy", "a", "mon", None), ("dy", "z", "mon", float("nan"))]
+    df = spark.createDataFrame(rows, "f string, s string, day string, v double").withColumn("key", F.lit(1)).repartition(5)
+    parts = qdigest.build_scopes(df, ["f"], {"session": "s", "day": "day", "overall": None}, "v")
+    got = {(r["scope"], r.f, r.g, r.q): r for r in qdigest.scoped_percentiles(parts, ["f", "g"]).collect()}
+    assert {k[:3] for k in got} == {("session", "dx", "a"), ("session", "dx", "b"), ("session", "dx", "c"), ("session", "dy", "a"), ("day", "dx", "mon"), ("day", "dx", None), ("day", "dy", "mon"), ("overall", "dx", "all"), ("overall", "dy", "all")}
+    for (scope, f, g, q), r in got.items():
+        v = sorted(x for a, s, day, x in rows if a == f and x is not None and x == x and (scope == "overall" or g == (s if scope == "session" else day)))
+        exact = v[max(1, int(np.ceil(q * len(v)))) - 1]
+        assert r.n == len(v) and abs(r.value - exact) <= abs(exact) * 2**-19 + 1e-12
+    assert qdigest.scoped_percentiles(qdigest.build_scopes(df.limit(0), ["f"], {"overall": None}, "v"), ["f"]).count() == 0
+
+
 # --- p6, p7 ---------------------------------------------------------------------------
 
 
