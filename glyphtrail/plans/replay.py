@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -91,8 +92,35 @@ def with_empty(blocks: DataFrame, captures: DataFrame) -> DataFrame:
     return blocks.select("session_id", "cap", "seq", *_COLUMNS).unionByName(missing, allowMissingColumns=True)
 
 
-def replay(blocks: DataFrame, arms: dict[str, Config] | None = None, captures: DataFrame | None = None) -> DataFrame:
-    """The decision log of every session under every arm: merge and capture rows."""
+Policy = Callable[[Session], tuple[float, float] | None]
+
+
+def median_cells(session: Session) -> tuple[float, float] | None:
+    """Square cells of twice the upper-middle height of the tracks, within limits."""
+    heights = sorted(t.rect[3] - t.rect[1] for t in session.tracks)
+    if len(heights) < 4:
+        return None
+    size = min(max(2 * heights[len(heights) // 2], 80.0), 220.0)
+    return size, size
+
+
+def viewport_cells(width: float, height: float) -> Policy:
+    """Cells by the size of the viewport, the same for every capture (J2d)."""
+    cells = min(max(0.18 * width, 80.0), 220.0), min(max(0.15 * height, 80.0), 220.0)
+    return lambda session: cells
+
+
+def drift_rows(session: Session, key: dict) -> list[dict]:
+    """Regions whose median drift moved on since it was last told."""
+    return [{**key, "event": "drift", "how": space, "dx": dx, "dy": dy} for space, dx, dy in session.drift.propagate()]
+
+
+def replay(blocks: DataFrame, arms: dict[str, Config] | None = None, captures: DataFrame | None = None, policy: Policy | None = None) -> DataFrame:
+    """The decision log of every session under every arm: merge, capture and drift rows.
+
+    ``policy`` sets the grid cells before each capture (ST16); keys are derived from the
+    cells, so a change needs no re-keying.
+    """
     chosen = arms or {"default": Config()}
     rows = with_empty(blocks, captures) if captures is not None else blocks.select("session_id", "cap", "seq", *_COLUMNS)
     keyed = rows.withColumn("arm", F.explode(F.array(*map(F.lit, chosen))))
@@ -103,8 +131,12 @@ def replay(blocks: DataFrame, arms: dict[str, Config] | None = None, captures: D
         for (name, arm, cap), members in captures_of(batches, ("session_id", "arm", "cap")):
             if (name, arm) != at:
                 at, session = (name, arm), Session(chosen[arm])
+            cells = policy(session) if policy else None
+            if cells:
+                session.config = replace(session.config, cell_width=cells[0], cell_height=cells[1])
             result = session.step([block_of(r) for r in members if r["id"] is not None])
             out += log_rows(name, arm, cap, result)
+            out += drift_rows(session, {"session_id": name, "arm": arm, "cap": cap})
             if len(out) >= 5000:
                 yield as_batch(out)
                 out = []

@@ -255,10 +255,15 @@ def resolve(new: Block, old: Block, margin: float, fence: float | None = None) -
 
 
 class Session:
-    """State of one stream of captures."""
+    """State of one stream of captures.
 
-    def __init__(self, config: Config = Config()) -> None:
-        self.config = config
+    Hooks, all optional: ``spatial`` (fresh, track) confirms a relaxed match in place of
+    the overlap test; ``merger`` (track, fresh, merged) may replace what a merge made;
+    ``check`` of :meth:`step` (fresh, track) flags a text as invalid in its context.
+    """
+
+    def __init__(self, config: Config = Config(), spatial=None, merger=None) -> None:  # noqa: ANN001
+        self.config, self.spatial, self.merger = config, spatial, merger
         self.tracks: list[Block] = []
         self.drift = Drift()
         self.stats = dict.fromkeys(("primary", "no_primary", "considered", "floor", "spatial", "text", "identified", "admitted"), 0)
@@ -333,7 +338,8 @@ class Session:
     def _band_stage(self, b: Block, t: Block, lev: float, jac: float) -> str:
         if t.obs < self.config.band_floor:
             return "floor"
-        if S.overlap_ratio(b.rect, t.rect, self.drift.margin(t.space)) < 0.80:
+        near = self.spatial(b, t) if self.spatial else S.overlap_ratio(b.rect, t.rect, self.drift.margin(t.space)) >= 0.80
+        if not near:
             return "spatial"
         return "identified" if lev >= self.config.band_lev or jac >= self.config.band_jac else "text"
 
@@ -506,6 +512,7 @@ class Session:
             nonlocal merged
             frozen = t.provisional and how != "nested"
             out, response = self.merge(b, t, how, plan)
+            out = self.merger(t, b, out) if self.merger else out
             if id(t) in matched:  # two fresh rows may continue one track: each is its own
                 out.track, self.next_track = self.next_track, self.next_track + 1
             matched[id(t)] = t

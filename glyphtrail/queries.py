@@ -726,6 +726,38 @@ def q_track_census(spark: SparkSession, d: str) -> DataFrame:
     return log.select("session_id", "cap", "merged", "admitted", "retained", "dropped", "contradictions", "invalidated", "settled", _r("shift_x").alias("shift_x"), _r("shift_y").alias("shift_y"), "shift_members", _r("scale").alias("scale"), "digest")
 
 
+@query()
+def q_drift_propagation(spark: SparkSession, d: str) -> DataFrame:
+    """Every region whose drift moved on, by capture."""
+    log = _replayed(spark, d).where("event = 'drift'")
+    return log.select("session_id", "cap", F.col("how").alias("skey"), _r("dx").alias("dx"), _r("dy").alias("dy"))
+
+
+@query()
+def q_bucket_policy(spark: SparkSession, d: str) -> DataFrame:
+    """A28, J2d, ST16: census with cells that follow the median height of the tracks."""
+    log = replay.replay(_obs(spark, d), None, table(spark, d, "captures"), replay.median_cells).where("event = 'capture'")
+    return log.select("session_id", "cap", "merged", "admitted", "dropped", "digest")
+
+
+@query(BASE + f"""
+, w AS (SELECT *, {_weight()} AS weight, floor(t / 500)::INT AS region FROM trk),
+k AS (SELECT session_id, obs, CASE WHEN weight >= 30 THEN 'unknown:0' WHEN weight = 20 AND kind = 'inner' THEN CASE WHEN cid IS NULL THEN 'unknown:0' ELSE 'ic:' || cid || ':' || region END ELSE 'normal:' || region END AS skey FROM w)
+SELECT session_id, skey, count(*) AS tracks, count(*) FILTER (obs < 3) AS uncorrected FROM k GROUP BY ALL""")
+def q_uncorrected(spark: SparkSession, d: str) -> DataFrame:
+    """Tracks of each drift key, and those seen fewer than three times."""
+    return _trk(spark, d).groupBy("session_id", "skey").agg(F.count(F.lit(1)).alias("tracks"), F.count(F.when(F.col("obs") < lifecycle.WELL_OBSERVED, 1)).alias("uncorrected"))
+
+
+@query(BASE + """
+SELECT session_id, cap, count(*) AS blocks, count(*) <= 1 AS alone, count(DISTINCT text) AS texts FROM obs GROUP BY session_id, cap""")
+def q_signatures(spark: SparkSession, d: str) -> DataFrame:
+    """Captures whose signature is 0, that is those of at most one block."""
+    texts = _obs(spark, d).groupBy("session_id", "cap").agg(F.collect_list("text").alias("texts"))
+    sig = C.group_signature(F.col("texts"))
+    return texts.select("session_id", "cap", F.size("texts").cast("long").alias("blocks"), (sig == 0).alias("alone"), F.size(F.array_distinct("texts")).cast("long").alias("texts"))
+
+
 @query()
 def q_ab_bands(spark: SparkSession, d: str) -> DataFrame:
     """A22, ST15, ST17: movement by maturity under every arm."""

@@ -1,4 +1,5 @@
 import random
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -210,3 +211,30 @@ def test_paragraph_guards():
     assert paragraphs.by_lines([two]) == [[two]] and paragraphs.group([]) == ([], [])
     with pytest.raises(ValueError):
         Knobs(times=0)
+
+
+def test_bucket_policies():
+    s = Session()
+    assert replay.median_cells(s) is None
+    s.step(page(5, height=60.0))
+    assert replay.median_cells(s) == (120.0, 120.0)
+    assert replay.viewport_cells(412, 3000)(s) == (80.0, 220.0)
+
+
+def test_drift_rows_are_logged(spark):
+    caps = [(1, page(6)), (2, page(6, 14.0, 100))]
+    log = replay.replay(_frame(spark, caps), {"damp": Config(step="damp")}, policy=replay.median_cells)
+    assert [(r.how, r.dy) for r in log.where("event = 'drift'").collect()] == [("normal:0", 14.0)]
+
+
+def test_hooks():
+    far = Session(Config(band_mode="admit", band_observations=1), spatial=lambda b, t: True, merger=lambda t, b, out: replace(out, srcq=99))
+    far.step([block(1, 0, "abcdefghij")])
+    far.step([block(2, 60, "abcdefWXYZ")], check=lambda b, t: True)
+    assert far.tracks[0].provisional and far.tracks[0].srcq == 99
+    near = Session(Config(band_mode="admit", band_observations=1))
+    near.step([block(1, 0, "abcdefghij")])
+    assert near.step([block(2, 60, "abcdefWXYZ")])["admitted"] == 1 and near.stats["spatial"] == 1
+    checked = Session()
+    checked.step([block(1, 0, "steady text")])
+    assert checked.step([block(2, 1, "steady text")], check=lambda b, t: True)["invalidated"] == ["steady text"]
