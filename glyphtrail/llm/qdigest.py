@@ -233,6 +233,8 @@ def percentiles(digests: DataFrame, keys: list[str], quantiles: tuple[float, ...
 
 #: Between the parts of a group's key, and in place of a null part.
 _CUT, _NULL = "\x1f", "\x00"
+#: Nodes of one key that a task holds before it compresses them.
+MAX_RUN = 2_000_000
 
 
 class _Folder:
@@ -300,24 +302,28 @@ def build_scopes(values: DataFrame, base: list[str], scopes: dict[str, str | Non
     return rows.mapInArrow(run, "key string, node long, count long")
 
 
-def _by_runs(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[list[str], np.ndarray, np.ndarray, np.ndarray]]:
-    """(keys, group numbers, nodes, counts) of whole groups of rows sorted by key."""
+def _by_runs(batches: Iterator[pa.RecordBatch], k: int, limit: int | None = None) -> Iterator[tuple[list[str], np.ndarray, np.ndarray, np.ndarray]]:
+    """(keys, group numbers, nodes, counts) of whole runs of equal keys, in row order.
+
+    Rows may be sorted by something before the key: a key then comes in several runs.
+    Only the run that is still open is held between batches, so all held rows have one
+    key; a run of more than ``limit`` (else ``MAX_RUN``) nodes is compressed as it is read.
+    """
+    limit = MAX_RUN if limit is None else limit
     held: list[tuple] = []
     for batch in batches:
         if not batch.num_rows:
             continue
         key = np.array(batch.column(0).to_pylist(), object)
         held.append((key, batch.column(1).to_numpy(), batch.column(2).to_numpy()))
-        if key[0] == key[-1] == held[0][0][0] and len(held) > 1:
-            if sum(len(h[1]) for h in held) > 2_000_000:  # one very large group: compress what is read
-                _, x, c = compress(np.zeros(sum(len(h[1]) for h in held), np.int64), *(np.concatenate(p) for p in zip(*(h[1:] for h in held))), k)
-                held = [(np.full(len(x), key[0], object), x, c)]
-            continue
-        key, node, count = (np.concatenate(p) for p in zip(*held))
-        whole = int(np.searchsorted(key != key[-1], False)) if key[0] != key[-1] else 0
-        if whole:
+        if held[0][0][0] != key[-1] or (key != key[-1]).any():
+            key, node, count = (np.concatenate(p) for p in zip(*held))
+            whole = int(np.flatnonzero(key != key[-1])[-1]) + 1
             yield _numbered(key[:whole], node[:whole], count[:whole])
-        held = [(key[whole:], node[whole:], count[whole:])]
+            held = [(key[whole:], node[whole:], count[whole:])]
+        if (size := sum(len(h[1]) for h in held)) > limit:
+            _, x, c = compress(np.zeros(size, np.int64), *(np.concatenate(p) for p in zip(*(h[1:] for h in held))), k)
+            held = [(np.full(len(x), key[-1], object), x, c)]
     if held:
         yield _numbered(*(np.concatenate(p) for p in zip(*held)))
 

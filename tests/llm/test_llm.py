@@ -4,6 +4,7 @@ import random
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -150,6 +151,19 @@ def test_scopes_in_one_pass(spark):
     assert qdigest.scoped_percentiles(qdigest.build_scopes(df.limit(0), ["f"], {"overall": None}, "v"), ["f"]).count() == 0
 
 
+def test_runs_are_released_and_only_one_key_is_compressed():
+    rng, leaf = np.random.default_rng(3), 1 << qdigest.BITS
+    rows = [(key, leaf + int(x)) for salt in range(3) for key in "abc" for x in np.sort(rng.choice(10_000, 2 if key == "b" else 40, replace=False))]
+    for size, limit in ((7, 5), (7, 10**6), (1, 3), (50, 30), (500, 10)):
+        batches = [pa.RecordBatch.from_pydict({"key": [r[0] for r in part], "node": [r[1] for r in part], "count": [1] * len(part)}) for part in (rows[i : i + size] for i in range(0, len(rows), size))]
+        got, runs, steps = {}, [], 0
+        for keys, g, _, count in qdigest._by_runs(iter(batches), qdigest.factor(), limit):
+            runs, steps = runs + keys, steps + 1
+            for name, n in zip(np.array(keys)[g], count):
+                got[name] = got.get(name, 0) + int(n)
+        assert got == {"a": 120, "b": 6, "c": 120} and runs == list("abc" * 3) and (steps > 1 or size == 500)
+
+
 # --- p6, p7 ---------------------------------------------------------------------------
 
 
