@@ -3,7 +3,9 @@
 Each task reads its lines, folds them into the header schema of their files and
 emits one row per (file, record kind, field) with the value types seen and a small
 profile of the values. The rows of a file are merged by addition, promoted through a
-type lattice, and compared with the file before it in the same recorder.
+type lattice, and compared with the file before it in the same recorder. The shapes of
+the values stay rows of their own, so a profile of any size is compared whole: what two
+fields have in common is counted by a join on the shape.
 
 A field that vanished and one that appeared in the same file and record kind are one
 rename if their types agree and their value profiles or names are close; several such
@@ -27,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glyphtrail.context import cut_lineage
+
 RECORDS = ("meta", "obs", "merge", "freeze")
 #: Names under which a discriminator is looked for first; any other name works too.
 DISCRIMINATORS = ("t", "type", "rec", "kind")
@@ -114,22 +118,44 @@ def _headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(types), types)], names=names)
 
 
+def _shape_rows(lines: DataFrame) -> DataFrame:
+    """One row per (file, record kind, field, shape), with the kinds seen as least and most.
+
+    Partial headers are folded inside each task. Nulls are the rows of the empty shape,
+    which no value has.
+    """
+    parts = lines.select("file_id", "recorder", "file_no", "line").mapInArrow(_headers, _HEADER)
+    return parts.groupBy("file_id", "recorder", "file_no", "rec", "field_name", "shape").agg(F.min("kind").alias("least"), F.max("kind").alias("most"), F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("squares").alias("squares"), F.min("low").alias("low"), F.max("high").alias("high"))
+
+
 def file_schemas(lines: DataFrame) -> DataFrame:
     """One row per (file, record kind, field): promoted kind and a value profile.
 
-    Partial headers are folded inside each task, so what is shuffled grows with files
-    times fields and not with lines.
+    ``shapes`` is the number of different shapes of the field's values.
     """
-    parts = lines.select("file_id", "recorder", "file_no", "line").mapInArrow(_headers, _HEADER)
-    merged = parts.groupBy("file_id", "recorder", "file_no", "rec", "field_name", "kind", "shape").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("squares").alias("squares"), F.min("low").alias("low"), F.max("high").alias("high"))
-    one = F.array_sort(F.collect_set("kind"))
-    return merged.groupBy("file_id", "recorder", "file_no", "rec", "field_name").agg(
-        F.when(F.size(one) == 1, F.element_at(one, 1)).when(F.size(one) > 1, F.lit("string")).alias("kind"),
-        F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("squares").alias("squares"), F.min(F.when(F.col("kind").isNotNull(), F.col("low"))).alias("low"), F.max(F.when(F.col("kind").isNotNull(), F.col("high"))).alias("high"),
-        F.slice(F.array_sort(F.collect_set(F.when(F.col("kind").isNotNull(), F.col("shape")))), 1, 64).alias("shapes"),
+    return _schemas(_shape_rows(lines))
+
+
+def _schemas(shapes: DataFrame) -> DataFrame:
+    typed = F.col("least").isNotNull()
+    return shapes.groupBy("file_id", "recorder", "file_no", "rec", "field_name").agg(
+        F.when(F.min("least") == F.max("most"), F.min("least")).when(F.min("least").isNotNull(), F.lit("string")).alias("kind"),
+        F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("squares").alias("squares"), F.min(F.when(typed, F.col("low"))).alias("low"), F.max(F.when(typed, F.col("high"))).alias("high"),
+        F.count(F.when(typed, 1)).alias("shapes"),
     )
 
 
+def _common_shapes(shapes: DataFrame, moved: DataFrame) -> DataFrame:
+    """For each added field (file_id, rec, field_name) the shapes it shares, by removed field."""
+    typed = shapes.where("least is not null")
+    fields = moved.select("file_id", "recorder", "file_no", "rec", "field_name", "change_kind")
+    come = fields.where("change_kind = 'added'").drop("change_kind", "recorder", "file_no").join(typed.select("file_id", "rec", "field_name", "shape"), ["file_id", "rec", "field_name"])
+    before = typed.select("recorder", (F.col("file_no") + 1).alias("file_no"), "rec", "field_name", "shape")
+    gone = fields.where("change_kind = 'removed'").join(before, ["recorder", "file_no", "rec", "field_name"]).select("file_id", "rec", F.col("field_name").alias("old_name"), "shape")
+    counts = come.join(gone, ["file_id", "rec", "shape"]).groupBy("file_id", "rec", "field_name", "old_name").agg(F.count(F.lit(1)).alias("n"))
+    return counts.groupBy("file_id", "rec", "field_name").agg(F.map_from_entries(F.collect_list(F.struct("old_name", "n"))).alias("common"))
+
+
 def _words(name: str) -> str:
     spaced = "".join("_" + c if c.isupper() and not p.isupper() else c for p, c in zip(" " + name, name))
     return "".join(x for x in spaced.lower().strip("_") if x.isalnum())
@@ -142,14 +168,16 @@ def name_closeness(old: str, new: str) -> float:
 
 
 def closeness(old: dict, new: dict) -> float:
-    """0 to 1: how much two fields look like the same field; 0 if their kinds differ."""
+    """0 to 1: how much two fields look like the same field; 0 if their kinds differ.
+
+    ``common`` of the new field has the number of shapes it shares, by old field.
+    """
     name = name_closeness(old["field_name"], new["field_name"])
     if old["kind"] is None or new["kind"] is None:
         return name if name >= 0.7 else 0.0
     if old["kind"] != new["kind"]:
         return 0.0
-    shapes, others = set(old["shapes"]), set(new["shapes"])
-    shape = len(shapes & others) / max(1, min(len(shapes), len(others)))
+    shape = (new["common"] or {}).get(old["field_name"], 0) / max(1, min(old["shapes"], new["shapes"]))
     inner = min(old["high"], new["high"]) - max(old["low"], new["low"])
     width = min(old["high"] - old["low"], new["high"] - new["low"])
     spread = max(0.0, min(1.0, (inner + 0.05) / (width + 0.05))) if inner > -0.5 else 0.0
@@ -184,7 +212,8 @@ def schema_changes(lines: DataFrame) -> DataFrame:
     Columns: file_id (the later file), recorder, file_no, rec, field_name (of a rename
     the earlier name), change_kind, new_name (of a rename only).
     """
-    schemas = file_schemas(lines)
+    shapes = cut_lineage(_shape_rows(lines))
+    schemas = _schemas(shapes)
     files = lines.select("file_id", "recorder", "file_no").distinct()
     before = files.select("recorder", (F.col("file_no") + 1).alias("file_no"))
     later = files.join(before, ["recorder", "file_no"], "left_semi")
@@ -199,7 +228,9 @@ def schema_changes(lines: DataFrame) -> DataFrame:
     seen = F.coalesce("new", "old")
     changed = changed.select("file_id", *keys, "change_kind", *[seen[p].alias(p) for p in profile])
     steady = changed.where("change_kind = 'retyped'").select("file_id", *keys, "change_kind", F.lit(None).cast("string").alias("new_name"))
-    moved = changed.where("change_kind <> 'retyped'").groupBy("file_id", "recorder", "file_no", "rec").applyInPandas(_pairs, _CHANGE)
+    moved = cut_lineage(changed.where("change_kind <> 'retyped'"))
+    moved = moved.join(_common_shapes(shapes, moved), ["file_id", "rec", "field_name"], "left")
+    moved = moved.groupBy("file_id", "recorder", "file_no", "rec").applyInPandas(_pairs, _CHANGE)
     return moved.unionByName(steady)
 
 

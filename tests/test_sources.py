@@ -98,6 +98,15 @@ def test_drift_edges(spark):
     assert evolution.promote(["number", None]) == "number" and evolution.promote(["number", "array"]) == "string" and evolution.promote([None]) is None
 
 
+def test_profiles_of_many_words_are_compared_whole(spark):
+    words = ["".join("abcdefghij"[int(d)] for d in f"{i:04d}") for i in range(1000)]
+    df = files(spark, [{"t": "obs", "word": w} for w in words], [{"t": "obs", "quill": w} for w in words[::10]])
+    assert changes(df) == [(2, "obs", "word", "renamed", "quill")]
+    assert {r.field_name for r in evolution.unified_cells(df).collect()} == {"t", "word"}
+    other = [{"t": "obs", "quill": w[::-1] + "z"} for w in words[::10]]
+    assert [c[3] for c in changes(files(spark, [{"t": "obs", "word": w} for w in words], other))] == ["added", "removed"]
+
+
 def test_capture_stream(spark):
     text = ['{"t":"meta","bk":[100,90]}', "", "{broken", '{"t":"obs","cap":1,"blocks":[{"rect":[1,2,3,4],"otext":"a","pconf":0.5,"tconf":0.5,"cvotes":{"10":2}}]}', '{"t":"meta","bk":[0,5]}', '{"t":"obs","cap":2,"blocks":[]}', '{"t":"probe"}', '{"t":null}']
     df = spark.createDataFrame([("s", i, x) for i, x in enumerate(text)], "session_id string, line_no int, line string")
