@@ -184,6 +184,14 @@ def q_best_window(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.col("freeze_id").alias("id"), _r(score).alias("score"))
 
 
+@query()
+def q_best_window_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Best window of the held text for the whole fresh one."""
+    rows = table(spark, d, "freezes").where("heldtext is not null and freshtext is not null")
+    score = T.best_window(T.significant(F.col("freshtext")), T.significant(F.col("heldtext")))
+    return rows.select(F.col("freeze_id").alias("id"), _r(score).alias("score"))
+
+
 @query()
 def q_containment(spark: SparkSession, d: str) -> DataFrame:
     """Longest common subsequence of raw texts over the inner length."""
