@@ -205,14 +205,22 @@ class HistoryIndex:
         bucketed = placement.home(rows, ["scope"]).withColumn("bucket", F.pmod("cell", F.lit(self.buckets)).cast("int"))
         bucketed.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(self.folder)
 
+    def _stored(self, like: DataFrame) -> DataFrame | None:
+        """What is stored, with the columns of ``like``; None only if there is no folder.
+
+        The schema is given, so that an empty folder has no rows and unreadable files fail.
+        """
+        spark = like.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            return None
+        return spark.read.schema(like.withColumn("bucket", F.lit(0)).schema).parquet(self.folder)
+
     def check(self, batch: DataFrame, *, key: list[str], new_id: str, text: str, rect: str) -> DataFrame:
         """Ids of the rows of ``batch`` that repeat something; the others are appended."""
         spark = batch.sparkSession
         fresh = _rows(batch, new_id, key, text, rect).persist()
-        try:
-            stored = spark.read.parquet(self.folder)
-        except Exception:  # noqa: BLE001  (nothing stored yet)
-            stored = None
+        stored = self._stored(placement.home(fresh, ["scope"]))
         visiting = placement.visits(fresh, ["scope"])
         if stored is None:
             found = fresh.select("id").limit(0)
