@@ -102,13 +102,21 @@ def _wide(votes: DataFrame, post: DataFrame, rounds: int, prior: tuple[float, fl
     """The same steps with source quality kept as a table, for very many sources."""
     right, wrong = prior
     said, w, u = F.col("claimed").cast("double"), F.col("truth") * F.col("facts"), (1 - F.col("truth")) * F.col("facts")
-    quality = None
+    quality, post = None, cut_lineage(post)
     for _ in range(rounds):
+        last = quality
+        total = post.agg(F.sum(w), F.sum("facts")).first()
+        share = min(max(total[0] / total[1], 0.01), 0.99) if total[1] else 0.5
         counts = votes.drop("facts").join(post, "pattern").groupBy("src").agg(F.sum(w * said).alias("tp"), F.sum(w).alias("p"), F.sum(u * (1 - said)).alias("tn"), F.sum(u).alias("n"))
         quality = cut_lineage(counts.select("src", ((F.col("tp") + right) / (F.col("p") + right + wrong)).alias("sensitivity"), ((F.col("tn") + right) / (F.col("n") + right + wrong)).alias("specificity")))
         yes, no = F.log(F.col("sensitivity") / (1 - F.col("specificity"))), F.log((1 - F.col("sensitivity")) / F.col("specificity"))
-        odds = votes.join(quality, "src").groupBy("pattern").agg(F.sum(F.when(F.col("claimed"), yes).otherwise(no)).alias("odds"), F.first("facts").alias("facts"))
+        odds = votes.join(quality, "src").groupBy("pattern").agg((F.sum(F.when(F.col("claimed"), yes).otherwise(no)) + math.log(share / (1 - share))).alias("odds"), F.first("facts").alias("facts"))
         post = cut_lineage(odds.select("pattern", (1 / (1 + F.exp(-F.col("odds")))).alias("truth"), "facts"))
+        if last is not None:
+            was = last.select("src", *[F.col(c).alias(f"last_{c}") for c in ("sensitivity", "specificity")])
+            step = F.greatest(*[F.abs(F.col(c) - F.col(f"last_{c}")) for c in ("sensitivity", "specificity")])
+            if (quality.join(was, "src").agg(F.max(step)).first()[0] or 0) < 1e-6:
+                break
     return post, quality
 
 
