@@ -3,8 +3,9 @@
 A value is quantized to one of 2**BITS ordered cells: the leading bits of its IEEE
 pattern, flipped so that cell order is value order. A digest holds counts of nodes of
 the dyadic tree over the cells. Compression moves the counts of two siblings to their
-parent while together they hold at most n/k, so a digest has at most 3k nodes, and a
-count is misplaced by at most one path: the rank error is at most BITS * n / k.
+parent while all three together hold at most n/k, so an inner node never holds more than
+that, however often a digest is compressed: the rank error is at most BITS * n / k. A
+digest has at most about 4k nodes.
 
 Digests are rows (group..., node, count). Merging adds the counts of equal nodes, which
 keeps the guarantee; the order of merging does not matter to it. Every task compresses
@@ -82,7 +83,8 @@ def compress(group: np.ndarray, node: np.ndarray, count: np.ndarray, k: int) ->
         pair = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (up[1:] != up[:-1])]))
         total = np.add.reduceat(c, pair)
         owner = np.repeat(np.arange(len(pair)), np.diff(np.concatenate([pair, [len(x)]])))
-        lift = total <= limit[g[pair]]
+        above = depth == level - 1
+        lift = total + _held(group[above], node[above], count[above], g[pair], up[pair]) <= limit[g[pair]]
         stay = ~lift[owner]
         keep.append((g[stay], x[stay], c[stay]))
         g, x, c = g[pair][lift], up[pair][lift], total[lift]
@@ -97,6 +99,14 @@ def compress(group: np.ndarray, node: np.ndarray, count: np.ndarray, k: int) ->
     return g[first], x[first], np.add.reduceat(c, first)
 
 
+def _held(group: np.ndarray, node: np.ndarray, count: np.ndarray, g: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """What (group, node), which may repeat, hold at each (g, x)."""
+    key, asked = (group.astype(np.int64) << (BITS + 1)) | node, (g.astype(np.int64) << (BITS + 1)) | x
+    order = np.argsort(key, kind="stable")
+    key, running = key[order], np.concatenate([[0], np.cumsum(count[order])])
+    return running[np.searchsorted(key, asked, "right")] - running[np.searchsorted(key, asked, "left")]
+
+
 def ask(node: np.ndarray, count: np.ndarray, quantiles: tuple[float, ...] = QUANTILES) -> list[tuple[float, float, int, int, int]]:
     """(quantile, value, n, lowest and highest possible rank of the value) of one digest."""
     depth = np.floor(np.log2(node.astype(np.float64))).astype(np.int64)
@@ -273,7 +283,7 @@ def build_scopes(values: DataFrame, base: list[str], scopes: dict[str, str | Non
 
     A group is a scope's name, the ``base`` columns and the scope's own column, if any.
     Every task folds its rows into all scopes and emits compressed nodes, so a coarse
-    group costs at most 3k nodes a task, however many rows it has.
+    group costs at most about 4k nodes a task, however many rows it has.
     """
     k = factor(epsilon)
     extra = [c for c in scopes.values() if c]
