@@ -46,7 +46,7 @@ _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 
 
 def normalise(text: str) -> str:
-    if text.isascii():
+    if text.isascii() and "".join(text.split()).isprintable():
         return text.lower()
     text = _INVISIBLE.sub("", unicodedata.normalize("NFKC", text))
     return unicodedata.normalize("NFKC", text.casefold())
