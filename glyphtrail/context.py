@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,11 +17,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder named by ``spark.checkpoint.dir``.
 
     A temporary folder is chosen only where neither that setting nor an explicit
-    checkpoint folder exists, which is the case in local tests.
+    checkpoint folder exists and all tasks run in this one process, as in tests. On a
+    cluster executors share no such folder, so a missing setting is an error there.
     """
     sc = spark.sparkContext
     if sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir():
         return
+    if not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="glyphtrail-"))
 
 
