@@ -8,7 +8,10 @@ structurally sound are decoded, and their values checked for count and type.
 
 Defined results: null, empty and blank lines and csv header lines give no row. A
 file that is neither ``.csv`` nor ``.jsonl`` gives rejects with ``unknown_format``.
-Every other input row gives exactly one row, loaded (``reason`` null) or rejected.
+Every other input row gives exactly one row, loaded (``reason`` null) or rejected. A
+csv line equal to the header counts as one at any line number. Numbers of any size are
+loaded: ``cap_text`` has the exact whole number, ``cap`` is null beyond 64 bits; a JSON
+edge beyond the range of a double comes out infinite.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ import json
 import math
 import re
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +32,11 @@ CSV_WIDTH = 8
 QUOTE, COMMA, BACKSLASH = 34, 44, 92
 
 SCHEMA = (
-    "raw_id long, file_name string, line_no int, form string, reason string, t string, cap long, "
+    "raw_id long, file_name string, line_no int, form string, reason string, t string, cap long, cap_text string, "
     "blocks array<struct<rect:array<double>,otext:string,pconf:double,tconf:double>>"
 )
 _BLOCK = pa.struct([("rect", pa.list_(pa.float64())), ("otext", pa.string()), ("pconf", pa.float64()), ("tconf", pa.float64())])
-_ARROW = pa.schema([("raw_id", pa.int64()), ("file_name", pa.string()), ("line_no", pa.int32()), ("form", pa.string()), ("reason", pa.string()), ("t", pa.string()), ("cap", pa.int64()), ("blocks", pa.list_(_BLOCK))])
+_ARROW = pa.schema([("raw_id", pa.int64()), ("file_name", pa.string()), ("line_no", pa.int32()), ("form", pa.string()), ("reason", pa.string()), ("t", pa.string()), ("cap", pa.int64()), ("cap_text", pa.string()), ("blocks", pa.list_(_BLOCK))])
 
 _NUMBER = re.compile(r"[+-]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?")
 
@@ -132,22 +136,60 @@ def _csv_values(line: str, raw: bytes, spots: np.ndarray) -> list[str]:
     return out
 
 
-def _csv_number(text: str) -> float | None:
-    return float(text) if _NUMBER.fullmatch(text) else None
+Number = int | float | Decimal
 
 
-def _whole(value: object) -> int | None:
+def exact_int(text: str) -> Number:
+    return int(text) if len(text) < 4000 else Decimal(text)
+
+
+def exact_float(text: str) -> Number:
+    """A double, or the exact value where a double has none."""
+    value = float(text)
+    if math.isfinite(value):
+        return value
+    try:
+        return Decimal(text)
+    except ArithmeticError:  # an exponent of twenty digits
+        return value
+
+
+def as_double(value: Number) -> float:
+    try:
+        return float(value)
+    except OverflowError:
+        return math.inf if value > 0 else -math.inf
+
+
+def _csv_number(text: str) -> Number | None:
+    if not _NUMBER.fullmatch(text):
+        return None
+    return exact_int(text) if text.isdecimal() else exact_float(text)
+
+
+def _whole(value: object) -> Number | None:
     """A whole number of at least 0; True and False are no numbers."""
-    if isinstance(value, bool) or not isinstance(value, int | float) or not math.isfinite(value):
+    if isinstance(value, bool) or not isinstance(value, Number) or not value >= 0:
         return None
-    return int(value) if value >= 0 and value == int(value) else None
+    if isinstance(value, int):
+        return value
+    if isinstance(value, float):
+        return int(value) if math.isfinite(value) and value == int(value) else None
+    return value if value == value.to_integral_value() else None
+
+
+def _cap(value: Number | None) -> tuple[int | None, str | None]:
+    """(number, text) of a whole number; the number is None beyond 64 bits."""
+    if value is None:
+        return None, None
+    return (int(value) if value < 1 << 63 else None), str(value)
 
 
 def _number(value: object) -> bool:
-    return isinstance(value, int | float) and not isinstance(value, bool)
+    return isinstance(value, Number) and not isinstance(value, bool)
 
 
-def check_csv(values: list[str]) -> tuple[str | None, int | None, list[dict]]:
+def check_csv(values: list[str]) -> tuple[str | None, Number | None, list[dict]]:
     if len(values) != CSV_WIDTH:
         return "column_count", None, []
     cap = _csv_number(values[0])
@@ -155,12 +197,14 @@ def check_csv(values: list[str]) -> tuple[str | None, int | None, list[dict]]:
     if cap is None:
         return "cap_invalid", None, []
     rect = [_csv_number(x) for x in values[1:5]]
-    if any(x is None or not math.isfinite(x) for x in rect):
+    rect = [math.inf if x is None else as_double(x) for x in rect]
+    if not all(map(math.isfinite, rect)):
         return "rect_invalid", cap, []
     pconf = _csv_number(values[6])
     if pconf is None or not 0 <= pconf <= 1:
         return "pconf_invalid", cap, []
-    return None, cap, [{"rect": rect, "otext": values[5], "pconf": pconf, "tconf": _csv_number(values[7])}]
+    tconf = _csv_number(values[7])
+    return None, cap, [{"rect": rect, "otext": values[5], "pconf": float(pconf), "tconf": None if tconf is None else as_double(tconf)}]
 
 
 class _NotJson(ValueError):
@@ -171,13 +215,23 @@ def _no_constant(name: str) -> None:
     raise _NotJson(name)
 
 
-def _long_int(text: str) -> int | float:
-    return int(text) if len(text) < 4000 else float(text)
+def _exact(line: str, **hooks) -> object:  # noqa: ANN003
+    return json.loads(line, parse_int=exact_int, parse_float=exact_float, **hooks)
+
+
+def read_json(line: str, **hooks) -> object:  # noqa: ANN003
+    """The value of a JSON text; whole numbers too long for the plain parser are kept."""
+    try:
+        return json.loads(line, **hooks)
+    except _NotJson:
+        raise
+    except ValueError:
+        return _exact(line, **hooks)
 
 
-def check_json(line: str) -> tuple[str | None, str | None, int | None, list[dict]]:
+def check_json(line: str) -> tuple[str | None, str | None, Number | None, list[dict]]:
     try:
-        record = json.loads(line, parse_constant=_no_constant, parse_int=_long_int)
+        record = read_json(line, parse_constant=_no_constant)
     except _NotJson:
         return "not_json_constant", None, None, []
     except RecursionError:
@@ -189,7 +243,10 @@ def check_json(line: str) -> tuple[str | None, str | None, int | None, list[dict
     kind = record.get("t")
     if not isinstance(kind, str):
         return "t_invalid", None, None, []
-    cap = _whole(record.get("cap"))
+    cap = record.get("cap")
+    if cap == math.inf:  # more than a double holds
+        cap = _exact(line)["cap"]
+    cap = _whole(cap)
     if cap is None:
         return "cap_invalid", kind, None, []
     entries = record.get("blocks")
@@ -204,7 +261,7 @@ def check_json(line: str) -> tuple[str | None, str | None, int | None, list[dict
         if not _number(pconf) or not 0 <= pconf <= 1:
             return "pconf_invalid", kind, cap, []
         text, tconf = entry.get("otext"), entry.get("tconf")
-        blocks.append({"rect": [float(x) for x in rect], "otext": text if isinstance(text, str) else None, "pconf": float(pconf), "tconf": float(tconf) if _number(tconf) else None})
+        blocks.append({"rect": [as_double(x) for x in rect], "otext": text if isinstance(text, str) else None, "pconf": float(pconf), "tconf": as_double(tconf) if _number(tconf) else None})
     return None, kind, cap, blocks
 
 
@@ -221,18 +278,18 @@ def load_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         faults, spots = index_csv(raws)
         for i, raw, fault, spot in zip(csv, raws, faults, spots):
             reason, cap, blocks = (fault, None, []) if fault else check_csv(_csv_values(lines[i], raw, spot))
-            out.append((ids[i], names[i], numbers[i], "csv", reason, None, cap, blocks))
+            out.append((ids[i], names[i], numbers[i], "csv", reason, None, *_cap(cap), blocks))
         rest = [i for i, f in enumerate(names) if (f or "").lower().endswith(".jsonl")]
         for i, fault in zip(rest, index_json([_encode(lines[i]) for i in rest])):
             reason, kind, cap, blocks = (fault, None, None, []) if fault else check_json(lines[i])
-            out.append((ids[i], names[i], numbers[i], "jsonl", reason, kind, cap, blocks))
+            out.append((ids[i], names[i], numbers[i], "jsonl", reason, kind, *_cap(cap), blocks))
         known = {*csv, *rest}
-        out += [(ids[i], names[i], numbers[i], None, "unknown_format", None, None, []) for i in range(len(ids)) if i not in known]
+        out += [(ids[i], names[i], numbers[i], None, "unknown_format", None, None, None, []) for i in range(len(ids)) if i not in known]
         yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out) if out else [[]] * len(_ARROW), _ARROW)], schema=_ARROW)
 
 
 def load_lines(lines: DataFrame) -> DataFrame:
-    """Rows (raw_id, file_name, line_no, form, reason, t, cap, blocks) of recorder lines.
+    """Rows (raw_id, file_name, line_no, form, reason, t, cap, cap_text, blocks) of recorder lines.
 
     ``lines`` needs raw_id, file_name, line_no and line; other columns are ignored.
     A narrow operator: no shuffle, one pass, state of one batch.
@@ -251,4 +308,4 @@ def rejected(lines: DataFrame) -> DataFrame:
 def loaded_blocks(lines: DataFrame) -> DataFrame:
     """One row per block of the valid records; records without blocks give none."""
     rows = load_lines(lines).where(F.col("reason").isNull())
-    return rows.select("raw_id", "form", "t", "cap", F.posexplode("blocks").alias("position", "b")).select("raw_id", "form", "t", "cap", "position", "b.rect", "b.otext", "b.pconf", "b.tconf")
+    return rows.select("raw_id", "form", "t", "cap", "cap_text", F.posexplode("blocks").alias("position", "b")).select("raw_id", "form", "t", "cap", "cap_text", "position", "b.rect", "b.otext", "b.pconf", "b.tconf")
