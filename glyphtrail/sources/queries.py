@@ -27,8 +27,13 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return evolution.schema_changes(table(spark, d, "stream_lines")).select("file_id", "rec", "field_name", "change_kind")
 
 
+def p4_log(spark: SparkSession, d: str) -> DataFrame:
+    """All differences in the order of their files, renames with the new name."""
+    return evolution.change_log(table(spark, d, "stream_lines"))
+
+
 def p4_table(spark: SparkSession, d: str) -> DataFrame:
-    """One row per record under the first name of every field."""
+    """One row per record, cast to the columns of the union schema."""
     return evolution.unified_records(table(spark, d, "stream_lines"))
 
 
@@ -37,5 +42,5 @@ def p4_cells(spark: SparkSession, d: str) -> DataFrame:
     return evolution.unified_cells(table(spark, d, "stream_lines"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_rejects, p2_loaded, p4_found, p4_table, p4_cells)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_rejects, p2_loaded, p4_found, p4_log, p4_table, p4_cells)}
 ORACLE: dict[str, str] = {}

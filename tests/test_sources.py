@@ -85,8 +85,34 @@ def test_discriminator_and_names_follow_renames(spark):
     a, b, c = {"t": "meta", "v": 1}, {"kind": "meta", "ver": 2}, {"kind": "meta", "version": "3"}
     df = files(spark, [a], [b], [c])
     assert changes(df)[:2] == [(2, "meta", "t", "renamed", "kind"), (2, "meta", "v", "renamed", "ver")]
-    rows = {r.file_id: (r.t, r.v) for r in evolution.unified_records(df).collect()}
-    assert rows[1] == ("meta", "1") and rows[2] == ("meta", "2")
+    rows = {r.file_id: (r.t, r.fields.v) for r in evolution.unified_records(df).collect()}
+    assert rows == {1: ("meta", 1), 2: ("meta", 2), 3: ("meta", None)}
+    steady = evolution.unified_records(files(spark, [a], [b]))
+    assert dict(steady.select("fields.*").dtypes)["v"] == "bigint" and [r.v for r in steady.orderBy("file_id").select("fields.v").collect()] == [1, 2]
+
+
+def test_cast_to_the_union_schema(spark):
+    one = {"t": "obs", "a": 1, "line_id": True, "big": 10**400, "blocks": [{"rect": [1, 2], "odd": 1}, 7, {"odd": {"x": 1}}]}
+    two = {"t": "obs", "a": 2.5, "line_id": False, "big": 3, "blocks": [], "note": None}
+    table = evolution.unified_records(files(spark, [one], [two]))
+    assert dict(table.select("fields.*").dtypes) == {"t": "string", "a": "double", "line_id": "boolean", "big": "double", "note": "string", "blocks": "array<struct<odd:string,rect:array<double>>>"}
+    first, second = table.orderBy("file_id").collect()
+    assert first.fields.a == 1.0 and first.fields.big == float("inf") and second.fields.big == 3.0 and second.fields.blocks == []
+    assert [(b.odd, b.rect) for b in first.fields.blocks] == [("1", [1.0, 2.0]), (None, None), ('{"x": 1}', None)]
+    log = evolution.change_log(files(spark, [one], [two], [one])).collect()
+    assert [(r.file_no, r.field_name) for r in log] == sorted((r.file_no, r.field_name) for r in log)
+
+
+def test_numbers_of_any_size(spark):
+    long = "9" * 401
+    cases = [bad(cap=1e30), bad(cap=2**63), '{"t":"obs","cap":' + long + "}", '{"t":"obs","cap":1e400}', '{"t":"obs","cap":' + "9" * 5000 + "}", entry(rect=[int(long), 1, 2, 3])]
+    rows = lines(spark, [("a.jsonl", s) for s in cases] + [("a.csv", "1e30,1,2,3,4,x,0.5,0.5"), ("a.csv", "9007199254740993,1,2,3,4,x,0.5,1e999"), ("a.csv", "1,1e400,2,3,4,x,0.5,0.5")])
+    got = {r.raw_id: r for r in rejects.load_lines(rows).collect()}
+    assert [got[i].reason for i in range(9)] == [None] * 8 + ["rect_invalid"]
+    assert [got[i].cap for i in (0, 1, 2, 3, 6)] == [None] * 5 and got[7].cap == 9007199254740993
+    assert got[1].cap_text == str(2**63) and got[2].cap_text == long and got[4].cap_text == "9" * 5000 and got[5].blocks[0].rect[0] == float("inf")
+    table = files(spark, [{"t": "obs", "x": 10**400}], [{"t": "obs", "x": 1}])
+    assert changes(table) == [] and changes(table.withColumn("line", F.replace("line", F.lit('"x": 1}'), F.lit('"x": ' + "7" * 5000 + "}")))) == []
 
 
 def test_drift_edges(spark):
