@@ -16,6 +16,7 @@ from .overlap import threshold_for
 
 WELL_OBSERVED = 3
 COVER_FLOOR = 0.5
+_PIECE = ("id", "kind", "inner_top", *"ltrb", "sig")
 
 
 def grouping_contradictions(tracked: DataFrame, fresh: DataFrame, scope: list[str]) -> DataFrame:
@@ -24,7 +25,7 @@ def grouping_contradictions(tracked: DataFrame, fresh: DataFrame, scope: list[st
     Columns: scope, id (of the tracked block), evidence (fresh ids by top), lev.
     """
     settled = tracked.where((F.col("obs") >= WELL_OBSERVED) & (F.col("kind") != "viewport") & (F.col("r") > F.col("l")) & (F.col("b") > F.col("t")))
-    pairs = spatial.region(settled, fresh, scope)
+    pairs = spatial.region(settled.select(*scope, *_PIECE), fresh.select(*scope, *_PIECE, "seq"), scope)
     h, p = side("h_"), side("p_")
     part = (p.height < 0.7 * h.height) & (F.try_divide(h.common_area(p), h.area) >= 0.3)
     pieces = pairs.where(part).groupBy(*scope, F.col("h_id").alias("id")).agg(F.first("h_sig").alias("sig"), F.array_sort(F.collect_list(F.struct(F.col("p_t").alias("t"), F.col("p_seq").alias("seq"), F.col("p_id").alias("id"), F.col("p_sig").alias("sig")))).alias("parts"))
@@ -40,7 +41,7 @@ def splitting_contradictions(fresh: DataFrame, tracked: DataFrame, scope: list[s
     fresh order.
     """
     tall = fresh.where((F.col("kind") != "viewport") & (F.col("r") > F.col("l")) & (F.col("b") > F.col("t")))
-    pairs = spatial.region(tall, tracked.where(F.col("obs") >= WELL_OBSERVED), scope)
+    pairs = spatial.region(tall.select(*scope, *_PIECE), tracked.where(F.col("obs") >= WELL_OBSERVED).select(*scope, *_PIECE), scope)
     h, p = side("h_"), side("p_")
     inside = (p.height < 0.7 * h.height) & (F.try_divide(h.common_area(p), p.area) >= 0.80)
     pieces = pairs.where(inside).groupBy(*scope, F.col("h_id").alias("id")).agg(F.first("h_sig").alias("sig"), F.array_sort(F.collect_list(F.struct(F.col("p_t").alias("t"), F.col("p_id").alias("id"), F.col("p_sig").alias("sig")))).alias("parts"))
@@ -50,11 +51,11 @@ def splitting_contradictions(fresh: DataFrame, tracked: DataFrame, scope: list[s
 
 def superseded(tracked: DataFrame, fresh: DataFrame, scope: list[str]) -> DataFrame:
     """Tracked rows covered by a fresh one: ids (``c_id``), once each."""
-    covers = spatial.region(fresh, tracked, scope)
+    slim = lambda x, *more: x.select(*scope, "id", "kind", "hz", "inner_top", *"ltrb", *more)
+    covers = spatial.region(slim(fresh), slim(tracked, F.greatest(threshold_for(F.col("text")), F.lit(COVER_FLOOR)).alias("need")), scope)
     f, c = side("h_"), side("p_")
     same = ((F.col("h_kind") == "viewport") == (F.col("p_kind") == "viewport")) & ((F.col("h_hz") < 0) | (F.col("p_hz") < 0) | (F.col("h_hz") == F.col("p_hz")))
-    need = F.greatest(threshold_for(F.col("p_text")), F.lit(COVER_FLOOR))
-    hit = covers.where(same & (c.area > 0) & (F.try_divide(f.common_area(c), c.area) >= need))
+    hit = covers.where(same & (c.area > 0) & (F.try_divide(f.common_area(c), c.area) >= F.col("p_need")))
     return hit.select(*scope, F.col("p_id").alias("c_id")).distinct()
 
 

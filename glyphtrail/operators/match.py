@@ -1,5 +1,9 @@
 """Match fresh blocks to tracked ones by text similarity over the grid.
 
+A neighbour with equal text is as similar as can be, so equal texts are joined first, by
+a hash of the text and without any score; only rows left over meet all neighbours in the
+cells around them. There the tracked side, slim, is the one that is copied to nine cells.
+
 The best candidate is an aggregation with one comparable struct (``max_by``), not a
 sort: partial maxima are taken on the map side, so a fresh row with very many candidates
 costs one row per task.
@@ -19,40 +23,75 @@ from .blocks import rename, side
 NESTED_COVER = 0.8
 BAND_OVERLAP = 0.80
 
+_SLIM = ("id", "kind", "inner_top", *"ltrb", "sig")
 
-def scores(f: str = "f_", c: str = "c_") -> tuple[Column, Column]:
-    """Levenshtein ratio and character jaccard of a pair.
 
-    The exact distance is only worked out where it can matter: if the lengths alone
-    keep the ratio under the threshold and the jaccard arm fails, the pair cannot match.
-    """
-    return T.levenshtein_ratio(F.col(f + "sig"), F.col(c + "sig")), T.jaccard(F.col(f + "chars"), F.col(c + "chars"))
+def same_view(f: str = "f_", c: str = "c_") -> Column:
+    return (F.col(f + "kind") == "viewport") == (F.col(c + "kind") == "viewport")
+
+
+def _allowed(share: float) -> Column:
+    """The largest distance at which the ratio of a pair is still at least ``share``."""
+    longer = F.greatest(F.length("f_sig"), F.length("c_sig"))
+    return F.floor((1 - share) * longer + 1e-9).cast("int")
+
+
+def _ratio(gap: Column) -> Column:
+    return 1.0 - gap / F.greatest(F.length("f_sig"), F.length("c_sig"))
 
 
 def similar_candidates(fresh: DataFrame, tracked: DataFrame, scope: list[str], **sizes: float) -> DataFrame:
-    """Neighbouring pairs with scores ``lev`` and ``jac`` that pass the match test."""
-    same_view = (F.col("f_kind") == "viewport") == (F.col("c_kind") == "viewport")
-    short, long = F.least(F.length("f_sig"), F.length("c_sig")), F.greatest(F.length("f_sig"), F.length("c_sig"))
-    _, jac = scores()
-    hopeful = (short > 0) & ((short / F.greatest(long, F.lit(1)) >= T.LEVENSHTEIN_MATCH) | (jac >= T.JACCARD_MATCH))
-    pairs = spatial.candidates(fresh, tracked, scope, extra=same_view & hopeful, **sizes)
-    pairs = pairs.withColumn("lev", scores()[0]).withColumn("jac", jac)
-    return pairs.where(T.text_similar(F.col("lev"), F.col("jac"), F.col("f_sig"), F.col("c_sig")))
+    """Neighbouring pairs with ``lev`` that pass the match test.
+
+    Both sides have the number of different letters of their text, ``letters``. The distance is given up as soon as it is too large, and the character sets are
+    compared only if their sizes allow it. Scores are made by a generator, which keeps
+    the optimizer from working them out once for the filter and once for the result.
+    """
+    pairs = spatial.candidates(fresh, tracked, scope, extra=same_view() & (F.length("f_sig") > 0) & (F.length("c_sig") > 0), **sizes)
+    m, n = F.col("f_letters"), F.col("c_letters")
+    common = F.size(F.array_intersect(T.char_set(F.col("f_sig")), T.char_set(F.col("c_sig"))))
+    gap = F.call_function("levenshtein", F.col("f_sig"), F.col("c_sig"), _allowed(T.LEVENSHTEIN_MATCH))
+    alike = (F.least(m, n) >= T.JACCARD_MATCH * F.greatest(m, n)) & (common / (m + n - common) >= T.JACCARD_MATCH)
+    scored = pairs.withColumn("s", F.explode(F.array(F.struct(gap.alias("gap"), alike.alias("alike")))))
+    kept = scored.where((F.col("s.gap") >= 0) | F.col("s.alike"))
+    return kept.withColumn("lev", F.when(F.col("s.gap") >= 0, _ratio(F.col("s.gap"))).otherwise(_ratio(F.levenshtein("f_sig", "c_sig")))).drop("s")
+
+
+def _best(pairs: DataFrame, scope: list[str], carry: tuple[str, ...]) -> Column:
+    """The best candidate of a fresh row: similarity, distance of centres, rectangle."""
+    a, b = side("f_"), side("c_")
+    dist = distance(a.center_x - b.center_x, a.center_y - b.center_y)
+    order = F.when(F.col("c_id").isNotNull(), F.struct(F.col("lev"), -F.round(dist, 9), *[-F.col("c_" + e) for e in "tlrb"], -F.col("c_id")))
+    return F.max_by(F.struct("c_id", "lev", dist.alias("dist"), "c_sig", *[F.col("c_" + x).alias("v_" + x) for x in carry]), order).alias("m")
 
 
 def primary_match(fresh: DataFrame, tracked: DataFrame, scope: list[str], carry: tuple[str, ...] = (), **sizes: float) -> DataFrame:
     """The best similar candidate of every fresh row that has one.
 
     Order: similarity, distance of centres, then the rectangle. Columns: scope, f_id,
-    c_id, lev, jac, dist, and ``carry`` columns of both sides.
+    c_id, lev, jac, dist, and ``carry`` columns of both sides. Ids of fresh rows are
+    unique within the scope.
     """
-    pairs = similar_candidates(fresh, tracked, scope, **sizes)
-    a, b = side("f_"), side("c_")
-    dist = distance(a.center_x - b.center_x, a.center_y - b.center_y)
-    order = F.struct(F.col("lev"), -F.round(dist, 9), *[-F.col("c_" + e) for e in "tlrb"], -F.col("c_id"))
-    found = F.struct("c_id", "lev", "jac", dist.alias("dist"), *["f_" + x for x in carry], *["c_" + x for x in carry])
-    best = pairs.groupBy(*scope, "f_id").agg(F.max_by(found, order).alias("m"))
-    return best.select(*scope, "f_id", "m.*")
+    extra = [x for x in carry if x not in _SLIM]
+    left = rename(fresh.select(*scope, *_SLIM, *extra), "f_", tuple(scope))
+    right = rename(tracked.select(*scope, *_SLIM, *extra), "c_", tuple(scope))
+    same = [F.col(x) == F.col("k_" + x) for x in scope]
+    keyed = right.select(*[F.col(x).alias("k_" + x) if x in scope else F.col(x) for x in right.columns]).where(F.length("c_sig") > 0)
+    met = left.join(keyed, [*same, F.col("f_sig") == F.col("c_sig"), same_view(), spatial.near("f_", "c_", **sizes)], "left").withColumn("lev", F.lit(1.0))
+    whole = F.struct(*[c for c in left.columns if c not in (*scope, "f_id")])
+    first = met.groupBy(*scope, "f_id").agg(F.first(whole).alias("f"), _best(met, scope, carry))
+    done = first.where("m is not null").select(*scope, "f_id", "f.*", "m.*")
+    rest = first.where("m is null").select(*scope, "f_id", "f.*")
+    rest = rest.select(*scope, *[F.col(c).alias(c[2:]) for c in left.columns if c not in scope])
+    letters = F.size(T.char_set(F.col("sig"))).alias("letters")
+    pairs = similar_candidates(rest.select("*", letters), tracked.select(*scope, *_SLIM, letters), scope, **sizes)
+    second = pairs.groupBy(*scope, "f_id").agg(F.first(F.struct(*["f_" + c for c in (*_SLIM[1:], *extra)])).alias("f"), _best(pairs, scope, ())).select(*scope, "f_id", "f.*", "m.*")
+    if carry:
+        more = tracked.select(*scope, F.col("id").alias("c_id"), *[F.col(x).alias("v_" + x) for x in carry])
+        second = second.join(more, [*scope, "c_id"])
+    both = done.unionByName(second)
+    jac = T.jaccard(T.char_set(F.col("f_sig")), T.char_set(F.col("c_sig")))
+    return both.select(*scope, "f_id", "c_id", "lev", jac.alias("jac"), "dist", *["f_" + x for x in carry], *[F.col("v_" + x).alias("c_" + x) for x in carry])
 
 
 def band_funnel(fresh: DataFrame, tracked: DataFrame, scope: list[str], lev_floor: float = 0.50, jac_floor: float = 0.60, observations: int = 4) -> DataFrame:
@@ -61,19 +100,23 @@ def band_funnel(fresh: DataFrame, tracked: DataFrame, scope: list[str], lev_floo
     The spatial test runs without drift. Every candidate that is not a primary match is
     counted once, in the first stage that stops it.
     """
-    same_view = (F.col("f_kind") == "viewport") == (F.col("c_kind") == "viewport")
-    lev, jac = scores()
-    pairs = spatial.candidates(fresh, tracked, scope, extra=same_view).withColumn("lev", lev).withColumn("jac", jac)
-    pairs = pairs.where(~T.text_similar(F.col("lev"), F.col("jac"), F.col("f_sig"), F.col("c_sig")))
+    slim = lambda x: x.select(*scope, *_SLIM, "chars", "obs")
+    pairs = spatial.candidates(slim(fresh), slim(tracked), scope, extra=same_view() & ((F.col("f_sig") != F.col("c_sig")) | (F.length("f_sig") == 0)))
+    gap = F.call_function("levenshtein", F.col("f_sig"), F.col("c_sig"), _allowed(min(lev_floor, T.LEVENSHTEIN_MATCH)))
+    scored = pairs.withColumn("s", F.explode(F.array(F.struct(gap.alias("gap"), T.jaccard(F.col("f_chars"), F.col("c_chars")).alias("jac")))))
+    gap, longer = F.col("s.gap"), F.greatest(F.length("f_sig"), F.length("c_sig"))
+    lev = F.when(longer == 0, 1.0).when((F.length("f_sig") == 0) | (F.length("c_sig") == 0), 0.0).when(gap >= 0, 1.0 - gap / F.greatest(longer, F.lit(1))).otherwise(0.0)
+    rest = scored.where(~T.text_similar(lev, F.col("s.jac"), F.col("f_sig"), F.col("c_sig")))
     near = overlap_ratio(side("f_"), side("c_")) >= BAND_OVERLAP
-    stage = F.when(F.col("c_obs") < observations, "floor").when(~near, "spatial").when((F.col("lev") < lev_floor) & (F.col("jac") < jac_floor), "text").otherwise("identified")
+    stage = F.when(F.col("c_obs") < observations, "floor").when(~near, "spatial").when((lev < lev_floor) & (F.col("s.jac") < jac_floor), "text").otherwise("identified")
     count = lambda s: F.count(F.when(stage == s, 1)).alias(s)
-    return pairs.groupBy(*scope).agg(F.count(F.lit(1)).alias("considered"), count("floor").alias("rejected_floor"), count("spatial").alias("rejected_spatial"), count("text").alias("rejected_text"), count("identified").alias("identified"))
+    return rest.groupBy(*scope).agg(F.count(F.lit(1)).alias("considered"), count("floor").alias("rejected_floor"), count("spatial").alias("rejected_spatial"), count("text").alias("rejected_text"), count("identified").alias("identified"))
 
 
 def nested_hosts(fresh: DataFrame, tracked: DataFrame, scope: list[str]) -> DataFrame:
     """The smallest tracked block that holds a fresh fragment of its text."""
-    pairs = spatial.region(fresh, tracked, scope)  # fresh rows are h_, tracked ones p_
+    slim = lambda x, *more: x.select(*scope, "id", "kind", "hz", "inner_top", *"ltrb", "sig", *more)
+    pairs = spatial.region(slim(fresh), slim(tracked, "obs", "provisional"), scope)  # fresh rows are h_, tracked ones p_
     f, c = side("h_"), side("p_")
     fits = (
         ~F.col("p_provisional") & (F.col("p_obs") >= 1) & (F.col("h_kind") != "viewport")

@@ -1,10 +1,9 @@
 """Grid joins: fuzzy spatial neighbourhoods as hash equi-joins on cells.
 
 Every block has one cell in the absolute layer and, inside a scroller, a second one
-relative to the scroller. A fresh row looks into the nine cells around each of its own.
-Only ids and cells pass the exploding side; everything else is joined back afterwards
-or carried by the other side. The join key includes the scope columns, so a session of
-any size spreads over its cells.
+relative to the scroller. Blocks are neighbours if one's cell is among the nine around
+the other's, so it is the smaller, tracked side that is copied to nine cells. The join
+key includes the scope columns, so a session of any size spreads over its cells.
 """
 
 from __future__ import annotations
@@ -13,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphtrail.functions import coordinates as C
+from glyphtrail.functions.geometry import Box
 
 from .blocks import box, rename
 
@@ -38,24 +38,33 @@ def cells(df: DataFrame, bw: float = C.BUCKET, bh: float = C.BUCKET) -> DataFram
 def candidates(fresh: DataFrame, tracked: DataFrame, scope: list[str], bw: float = C.BUCKET, bh: float = C.BUCKET, extra: Column | None = None) -> DataFrame:
     """Pairs of fresh (``f_``) and tracked (``c_``) rows in neighbouring cells.
 
-    Pairs found in both layers come once. ``extra`` is a further condition on the pair,
-    tested inside the join.
+    The tracked side is copied to the cells around its own, with all its columns: give
+    it only those that the join needs. Pairs found in both layers come once. ``extra``
+    is a further condition on the pair, tested inside the join.
     """
-    left = rename(fresh.select("*", F.explode(_cells(fresh, bw, bh, 1)).alias("cell")), "f_", (*scope, "cell"))
-    right = rename(cells(tracked, bw, bh), "c_", (*scope, "cell"))
-    # A pair of inner blocks may meet in two layers; keep the absolute meeting if any.
+    left = rename(cells(fresh, bw, bh), "f_", (*scope, "cell"))
+    right = rename(tracked.select("*", F.explode(_cells(tracked, bw, bh, 1)).alias("cell")), "c_", (*scope, "cell"))
     met = left.join(right, [*scope, "cell"])
-    if extra is not None:
-        met = met.where(extra)
-    once = met.where("cell.layer <> 'ic'")
-    inner = met.where("cell.layer = 'ic'")
-    near = (F.abs(_axis("f_", "x", bw) - _axis("c_", "x", bw)) <= 1) & (F.abs(_axis("f_", "y", bh) - _axis("c_", "y", bh)) <= 1)
-    return once.unionByName(inner.where(~near)).drop("cell")
+    # A pair of inner blocks may meet in two layers; keep the absolute meeting if any.
+    once = (F.col("cell.layer") != "ic") | ~_beside("f_", "c_", bw, bh)
+    return met.where(once if extra is None else once & extra).drop("cell")
+
+
+def _spot(prefix: str, bw: float, bh: float) -> tuple[Column, Column, Column]:
+    box = Box(*[F.col(prefix + e) for e in "ltrb"])
+    return C.cell_axes(box, F.col(prefix + "inner_top"), bw, bh)
+
+
+def _beside(f: str, c: str, bw: float, bh: float) -> Column:
+    (x, y, _), (u, v, _) = _spot(f, bw, bh), _spot(c, bw, bh)
+    return (F.abs(x - u) <= 1) & (F.abs(y - v) <= 1)
 
 
-def _axis(prefix: str, axis: str, size: float) -> Column:
-    low, high = ("l", "r") if axis == "x" else ("t", "b")
-    return F.round((F.col(prefix + low) + (F.col(prefix + high) - F.col(prefix + low)) / 2) / size)
+def near(f: str = "f_", c: str = "c_", bw: float = C.BUCKET, bh: float = C.BUCKET) -> Column:
+    """Whether two blocks of the same view are in neighbouring cells of a layer they share."""
+    (x, _, y), (u, _, v) = _spot(f, bw, bh), _spot(c, bw, bh)
+    inner = (F.col(f + "kind") == "inner") & (F.col(c + "kind") == "inner") & (F.abs(x - u) <= 1) & (F.abs(y - v) <= 1)
+    return _beside(f, c, bw, bh) | inner
 
 
 def region(hosts: DataFrame, page: DataFrame, scope: list[str], bw: float = C.BUCKET, bh: float = C.BUCKET) -> DataFrame:
