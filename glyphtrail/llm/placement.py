@@ -71,22 +71,35 @@ def visits(df: DataFrame, scope: list[str], *, upward: bool = False) -> DataFram
     return df.withColumn("cell", F.explode(F.array_distinct(F.flatten(F.array(*[cells(x) for x in levels])))))
 
 
-def meet(living: DataFrame, visiting: DataFrame, row_id: str, hot: int = HOT) -> DataFrame:
-    """Both sides placed by (cell, part), inhabitants (side 0) before visitors (side 1).
+def crowded(rows: DataFrame, key: str, hot: int) -> DataFrame | None:
+    """(key, parts) of the keys with more than ``hot`` rows, ready to join; None for none.
 
-    Both frames have the same columns, ``cell`` among them.
+    Broadcast only while there are at most ``BROADCAST_CELLS`` of them.
     """
-    crowded = living.groupBy("cell").count().where(F.col("count") > hot).select("cell", F.ceil(F.col("count") / hot).cast("int").alias("parts"))
-    some = crowded.limit(BROADCAST_CELLS + 1).count()
+    found = rows.groupBy(key).count().where(F.col("count") > hot).select(key, F.ceil(F.col("count") / hot).cast("int").alias("parts"))
+    some = found.limit(BROADCAST_CELLS + 1).count()
+    return None if not some else F.broadcast(found) if some <= BROADCAST_CELLS else found
+
+
+def spread(living: DataFrame, visiting: DataFrame, row_id: str, hot: int) -> DataFrame:
+    """Both sides with ``part`` and ``side``: hot cells split, their visitors copied."""
+    cells = crowded(living, "cell", hot)
     left, right = living.withColumn("side", F.lit(0)), visiting.withColumn("side", F.lit(1))
-    if some:
-        cells = F.broadcast(crowded) if some <= BROADCAST_CELLS else crowded
+    if cells is not None:
         left = left.join(cells, "cell", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64(row_id), F.col("parts")).cast("int"), F.lit(0))).drop("parts")
-        spread = F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)
-        right = right.join(cells, "cell", "left").withColumn("part", F.explode(spread)).drop("parts")
+        copies = F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)
+        right = right.join(cells, "cell", "left").withColumn("part", F.explode(copies)).drop("parts")
     else:
         left, right = left.withColumn("part", F.lit(0)), right.withColumn("part", F.lit(0))
-    return left.unionByName(right).repartition("cell", "part").sortWithinPartitions("cell", "part", "side")
+    return left.unionByName(right)
+
+
+def meet(living: DataFrame, visiting: DataFrame, row_id: str, hot: int = HOT) -> DataFrame:
+    """Both sides placed by (cell, part), inhabitants (side 0) before visitors (side 1).
+
+    Both frames have the same columns, ``cell`` among them.
+    """
+    return spread(living, visiting, row_id, hot).repartition("cell", "part").sortWithinPartitions("cell", "part", "side")
 
 
 def runs(batches: Iterator[pa.RecordBatch], group: tuple[str, ...], rest: tuple[str, ...]) -> Iterator[tuple[tuple, list[tuple], list[tuple]]]:

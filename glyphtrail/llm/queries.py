@@ -76,10 +76,8 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_groups(spark: SparkSession, d: str) -> DataFrame:
     """Class of every unit; a unit in no pair is its own class."""
-    units = table(spark, d, "units").select("unit_id")
-    pairs = tokengroups.similar_pairs(table(spark, d, "units"), row_id="unit_id", text="otext", rect="rect")
-    links = tokengroups.classes(pairs)
-    return units.join(links.withColumnRenamed("id", "unit_id"), "unit_id", "left").select("unit_id", F.coalesce("class_id", "unit_id").alias("class_id"))
+    found = tokengroups.classes_of(table(spark, d, "units"), row_id="unit_id", text="otext", rect="rect")
+    return found.select(F.col("id").alias("unit_id"), "class_id")
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:

@@ -246,8 +246,10 @@ def test_token_groups_equal_brute_force(spark, monkeypatch):
         rows.append((i, [x, y, x + 200, y + h], " ".join(words)))
     want = sorted((a[0], b[0]) for i, a in enumerate(rows) for b in rows[i + 1 :] if placement.overlap(a[1], b[1]) >= 0.5 and tokengroups.jaccard(set(a[2].split()), set(b[2].split())) >= 0.7)
     assert pairs_of(spark, rows) == want and len(want) > 20
-    monkeypatch.setattr(placement.meet, "__defaults__", (9,))
-    assert pairs_of(spark, rows) == want
+    assert pairs_of(spark, rows, hot=9) == want and pairs_of(spark, rows, hot=1) == want
+    monkeypatch.setattr(tokengroups, "_STEP", 50)
+    monkeypatch.setattr(tokengroups, "COUNTERS", 4)
+    assert pairs_of(spark, rows, hot=30) == want
 
 
 def test_token_group_edges(spark):
@@ -255,6 +257,14 @@ def test_token_group_edges(spark):
     assert pairs_of(spark, rows) == [(1, 2), (9, 10)] and pairs_of(spark, []) == []
 
 
+def test_copies_are_one_representative(spark):
+    rows = [(i, R, "one two three four") for i in range(50, 90)] + [(90, R, "one two three four five"), (91, [0.0, 900.0, 10.0, 950.0], "one two three four"), (92, None, "one"), (93, R, None), (94, R, "other words")]
+    df = spark.createDataFrame([(*r, 1, "y") for r in rows], "unit_id long, rect array<double>, otext string, id int, cell string")
+    got = {r.id: r.class_id for r in tokengroups.classes_of(df, row_id="unit_id", text="otext", rect="rect").collect()}
+    assert got == {i: 50 for i in range(50, 91)} | {i: i for i in range(91, 95)}
+    assert tokengroups.classes_of(df.limit(0), row_id="unit_id", text="otext", rect="rect").count() == 0
+
+
 def test_classes_are_components(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (7, 3), (10, 11), (5, 5)] + [(i, i + 1) for i in range(100, 140)], "a long, b long")
     got = {r.id: r.class_id for r in tokengroups.classes(links).collect()}
