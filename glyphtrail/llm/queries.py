@@ -66,7 +66,7 @@ def p5_percentiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return incremental.repeated_rows(table(spark, d, "incoming_blocks"), table(spark, d, "obs_blocks"), key=["session_id", "cap"], new_id="new_id", history_id="block_id", text="otext", rect="rect")
+    return incremental.repeated_rows(table(spark, d, "incoming_blocks"), table(spark, d, "obs_blocks"), key=["session_id", "cap"], new_id="new_id", history_id="block_id", text="otext", rect="rect", batch="batch_no")
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
