@@ -46,9 +46,19 @@ def test_trie_costs():
     t = canon.Trie(["Hello world", "Help"])
     assert t.find("Неllо wоrld") == ("Hello world", 0)
     assert t.find("Helo world") is None and t.find("Helo world", 1) == ("Hello world", 1) and t.find("Helq", 1) == ("Help", 1)
+    assert t.find("Hel\u200bp\u200b") == ("Help", 0) and t.find("Hell", 1) == ("Help", 1) and t.find("elp", 1) == ("Help", 1) and t.find("Helpp", 1) == ("Help", 1)
+    assert t.find("", 3) is None and t.find("", 4) == ("Help", 4) and canon.Trie(["ﬁn", "ガ"]).find("fin") == ("ﬁn", 0) and canon.Trie(["ガ"]).find("ｶﾞ") == ("ガ", 0)
     assert canon.normalise_token("сдвинул") == "сдвинул" and canon.normalise_token("cдвинyл") == "сдвинул" and canon.normalise_token("ｓсаn​") == "scan"
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("abcA", min_size=1, max_size=6), min_size=1, max_size=6), st.text("abcA", max_size=6), st.integers(1, 3))
+def test_automaton_finds_the_cheapest_line(lines, seen, most):
+    costs = [(incremental.edit_distance(x, seen, 9), x) for x in lines]
+    best = min(c for c in costs)
+    assert canon.Trie(lines).find(seen, most) == ((best[1], best[0]) if best[0] <= most else None)
+
+
 def texts(spark, rows):
     return spark.createDataFrame([(k, s, "x", 1) for k, s in rows], "session_id string, observed string, form string, route int")
 
