@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphtrail.context import table
@@ -47,9 +47,22 @@ def p3_records(spark: SparkSession, d: str) -> DataFrame:
     return best.groupBy(*_SLOT).agg(*pick)
 
 
+def _delivery() -> Column:
+    """A delivery's source: where the text came from and how late it arrived, by powers of two hours."""
+    late = (F.unix_millis(F.col("recv_at").cast("timestamp")) - F.col("ts")) / 3_600_000
+    step = F.when(late < 1, 0).otherwise(F.floor(F.log2(late)) + 1)
+    return F.concat_ws(" ", F.coalesce("origin", F.lit("unknown")), step.cast("string"))
+
+
 def p3_texts(spark: SparkSession, d: str) -> DataFrame:
-    """Texts of each slot judged true, by the two-sided quality of the origins."""
-    return survivor.true_values(table(spark, d, "obs_blocks"), _SLOT, "origin", "otext")
+    """Texts of each slot judged true, by the two-sided quality of origin and lateness."""
+    return survivor.true_values(table(spark, d, "obs_blocks").withColumn("delivery", _delivery()), _SLOT, "delivery", "otext")
+
+
+def p3_model(spark: SparkSession, d: str) -> DataFrame:
+    """srcq, tconf and obsn of each slot of several deliveries as the quality model judges them."""
+    found = survivor.model_values(table(spark, d, "obs_blocks"), _SLOT, "block_id", ["srcq", "tconf", "obsn"], _delivery())
+    return found.select(*_SLOT, "field_name", "value", "support", "truth", "block_id")
 
 
 def _measures(spark: SparkSession, d: str) -> DataFrame:
@@ -88,11 +101,16 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.contaminated(table(spark, d, "documents"), table(spark, d, "eval_items"), doc_id="doc_id", text="text", item_id="item_id", lang="lang")
 
 
+def p9_near(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with a passage of an item that may differ in two words or letters."""
+    return leaks.contaminated(table(spark, d, "documents"), table(spark, d, "eval_items"), doc_id="doc_id", text="text", item_id="item_id", lang="lang", max_edits=2)
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentence_spans(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_forms, p3_found, p3_records, p3_texts, p5_percentiles, p6_found, p7_found, p7_groups, p8_ids, p9_found, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_forms, p3_found, p3_records, p3_texts, p3_model, p5_percentiles, p6_found, p7_found, p7_groups, p8_ids, p9_found, p9_near, p10_found)}
 
 _DELIVERED = """
 WITH slots AS (

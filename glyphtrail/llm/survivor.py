@@ -14,6 +14,9 @@ Two rules:
 The model never iterates over facts: facts with the same pattern of claims and silences
 share one posterior, so each step runs over distinct patterns with counts.
 
+:func:`model_values` puts several fields of one table through the model at once: a field
+is part of the entity, its values compared as text.
+
 Defined results: rows whose key has a null belong to no group; NaN counts as null; a
 group of one row or with only nulls in a field gives no row for it; repeated claims of
 one source count once; empty tables give empty results. Extra columns are ignored.
@@ -134,3 +137,20 @@ def true_values(df: DataFrame, key: list[str], source: str, value: str, threshol
     first = scored.join(top, key).where(F.struct("truth", "support") == F.col("top")).groupBy(*key).agg(F.min("value").alias("lead"))
     kept = scored.join(first, key).where((F.col("truth") >= threshold) | (F.col("value") == F.col("lead")))
     return kept.select(*key, "value", "support", F.round("truth", 6).alias("truth"))
+
+
+def model_values(df: DataFrame, key: list[str], row_id: str, fields: list[str], source: Column, threshold: float = 0.5, rounds: int = 20) -> DataFrame:
+    """Values of each field judged true for every group of rows, with their suppliers.
+
+    Rows (key, field_name, value, support, truth, row id): of the rows that have the
+    value the smallest id. A field of one value in a group is judged like any other.
+    Sources have their own quality for each field.
+    """
+    each = [F.struct(F.lit(f).alias("field_name"), F.when(_present(df, f), F.col(f"`{f}`").cast("string")).alias("value")) for f in fields]
+    rows = df.select(*key, row_id, source.cast("string").alias("_src"), F.explode(F.array(*each)).alias("_e")).select(*key, row_id, "_e.field_name", "_e.value", F.concat_ws(" ", "_e.field_name", "_src").alias("src")).where(F.col("value").isNotNull() & F.col("src").isNotNull())
+    rows = cut_lineage(rows)
+    entity = [*key, "field_name"]
+    many = rows.groupBy(*entity).agg(F.countDistinct(row_id).alias("n")).where("n > 1").select(*entity)
+    kept = true_values(rows.join(many, entity, "left_semi"), entity, "src", "value", threshold, rounds)
+    supplier = rows.groupBy(*entity, "value").agg(F.min(row_id).alias(row_id))
+    return kept.join(supplier, [*entity, "value"])

@@ -22,7 +22,7 @@ def test_equals_sql(spark, data, name):
     assert rows_of(queries.QUERIES[name](spark, data)) == sql_rows(queries.ORACLE[name], data)
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - {"p3_texts"}))
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_runs_without_repeated_rows(spark, data, name):
     rows = queries.QUERIES[name](spark, data)
     found = [repr(r) for r in rows.collect()]
@@ -86,6 +86,14 @@ def test_best_values_edges(spark):
     assert survivor.best_values(df.limit(0), ["k"], "block_id", ["srcq"]).count() == 0
 
 
+def test_model_values_edges(spark):
+    rows = [("a", 1, 10, 3, 0.5, "x"), ("a", 1, 11, 3, None, "y"), ("a", 1, 12, 4, 0.7, "x"), ("a", 1, 12, 4, 0.7, "x"), ("b", 1, 13, 9, 0.9, "x"), (None, 1, 14, 9, 0.9, "x"), ("c", 2, 16, None, float("nan"), "x"), ("c", 2, 17, 5, None, None)]
+    df = spark.createDataFrame(rows, "k string, seq int, block_id long, srcq int, tconf double, origin string").withColumn("value", F.lit(0)).withColumn("src", F.lit("z"))
+    got = {(r.k, r.field_name): [] for r in survivor.model_values(df, ["k", "seq"], "block_id", ["srcq", "tconf"], F.col("origin")).collect()}
+    assert set(got) == {("a", "srcq"), ("a", "tconf")}
+    assert survivor.model_values(df.limit(0), ["k"], "block_id", ["srcq"], F.col("origin")).count() == 0
+
+
 def test_two_sided_model_finds_the_careless_source(spark):
     rng, rows, truth = random.Random(3), [], {}
     for e in range(150):
@@ -334,22 +342,77 @@ def test_leaks(spark, monkeypatch):
     assert leaked(spark, docs_with_parts(), ()) == [] and leaked(spark, []) == []
     monkeypatch.setattr(leaks, "MAX_LOCAL", 0)
     assert leaked(spark, docs_with_parts()) == WANT
+    assert leaked(spark, docs_with_parts(), ()) == [] and leaked(spark, []) == []
 
 
-def test_walks_of_near_windows_meet():
+def edited(rng, words, kind):
+    """Two substitutions, one word put in, or one left out, not at the ends."""
+    b, at = list(words), int(rng.integers(4, len(words) - 4))
+    if kind == "substitute":
+        b[at] = b[int(rng.integers(4, len(words) - 4))] = "other"
+    elif kind == "insert":
+        b.insert(at, "other")
+    else:
+        b.pop(at)
+    return b
+
+
+@pytest.mark.parametrize("kind", ["substitute", "insert", "delete"])
+def test_walks_of_near_windows_meet(kind):
     rng = np.random.default_rng(2)
     plan = leaks.Plan(False, 24, max_edits=2)
     hits, n = 0, 200
     for _ in range(n):
         a = [f"w{x}" for x in rng.integers(0, 400, 30)]
-        b = list(a)
-        b[rng.integers(4, 26)] = b[rng.integers(4, 26)] = "other"
         index = leaks.ItemIndex([(1, " ".join(a))], plan)
-        coder = leaks._Coder()
-        hits += 1 in index.found(coder(b))
+        hits += 1 in index.found(leaks._Coder()(edited(rng, a, kind)))
     assert hits / n >= plan.recall - 0.05
 
 
+def test_near_passages_equal_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    items = [(f"item {i}", "en", " ".join(f"w{x}" for x in rng.integers(0, 150, 40))) for i in range(6)] + [("zh", "zh", ZH), (None, "en", None)]
+    docs = []
+    for i in range(90):
+        words = items[i % 6][2].split()[5:25]
+        for kind in [("substitute", "insert", "delete")[i % 3]] * (1 + i % 2):
+            words = edited(rng, words, kind)
+        docs.append((f"doc {i}", " ".join([f"w{x}" for x in rng.integers(0, 150, 30)] + words)))
+    docs += [("zh doc", ZH[:10] + "新" + ZH[11:]), ("none", None), ("short", "w1 w2")]
+
+    def close(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1] <= 2
+
+    def near(text, item, letters):
+        a, b, n = leaks.symbols(text, letters), leaks.symbols(item, letters), 24 if letters else 12
+        return any(close(a[i : i + n], b[j : j + n]) for i in range(len(a) - n + 1) for j in range(len(b) - n + 1) if len({*a[i : i + n]} & {*b[j : j + n]}) >= n // 2 - 3)
+
+    want = {(d, i) for d, t in docs for i, lang, s in items if near(t, s, lang == "zh")}
+    frames = spark.createDataFrame(docs, "doc_id string, text string"), spark.createDataFrame(items, "item_id string, lang string, text string")
+    find = lambda: {tuple(r) for r in leaks.contaminated(*frames, doc_id="doc_id", text="text", item_id="item_id", lang="lang", max_edits=2).collect()}
+    got = find()
+    assert got <= want and len(got) >= 0.9 * len(want) and len(want) > 60
+    monkeypatch.setattr(leaks, "MAX_LOCAL", 0)
+    assert find() == got
+
+
+def test_close_pairs_equal_the_plain_distance():
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(0, 3, (2000, 7)).astype(np.uint64), rng.integers(0, 3, (2000, 7)).astype(np.uint64)
+    for most in (0, 1, 2, 3):
+        assert leaks.close_pairs(a, b, most).tolist() == [leaks.edit_distance(x, y, most) <= most for x, y in zip(a, b)]
+
+
+def test_unreachable_recall_is_an_error():
+    with pytest.raises(ValueError):
+        leaks.Plan(False, 12, max_edits=6, samples=12).tables
+
+
 # --- p10 ------------------------------------------------------------------------------
 
 
