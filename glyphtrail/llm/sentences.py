@@ -11,7 +11,9 @@ Levels of the cascade:
    either *break* or *keep*. The tables of the paragraph's script come first, the
    common table last, and the first pair that matches decides.
 
-The script of each paragraph selects the tables; the recorded language is not trusted.
+The scripts of a paragraph select the tables; the recorded language is not trusted. Among
+languages of the Latin script, the one whose own common words and letters it has
+is taken if a paragraph has three or more of them and none of another; else all apply.
 Invisible characters are skipped and full-width letters and digits are read as plain
 ones while matching; offsets always refer to the text as given.
 
@@ -56,6 +58,13 @@ NUMBERED = {
 CLOSING = r"etc usw usf u\.\ ?s\.\ ?w Co Inc Ltd Jr Sr a\.m p\.m A\.M P\.M U\.S U\.K и\ т\.\ ?д и\ т\.\ ?п и\ др пикс гг г"
 #: What a German ordinal stands before.
 GERMAN_ORDINAL = "Januar|Jänner|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember|Jahrhundert|Jh|Kapitel|Auflage|Stock|Platz|Klasse|Etage"
+#: Common words and letters by which languages of the Latin script are told apart.
+COMMON_WORDS = {
+    "en": "the and of to was is that it with for on at by from this not are he she his her has had will be an or as",
+    "de": "der die das und ist nicht ein eine mit von auf für den dem im zu des sich als auch war wird bei nach aus er sie ü ö ä ß",
+    "fr": "le les des et est une du dans pour que qui sur pas avec au par ce cette sont il elle à è ê ç où ne se",
+    "es": "el los las y es una del en para que con por no se al más su como fue lo ñ ó á í ¿ ¡ era está",
+}
 END_MARKS = r"[.!?…。！？｡．।॥؟۔]"
 CLOSERS = r"[\"”“’'»›)\]}）］｝」』】〉》]"
 PAIRS = (("“", "”"), ("«", "»"), ("„", "“”"), ("「", "」"), ("『", "』"), ("‹", "›"), ("(", ")"), ("（", "）"), ("[", "]"), ("【", "】"), ("《", "》"))
@@ -142,24 +151,53 @@ _LISTED = {
 }
 
 
+_COUNTED = {w: language for language, words in COMMON_WORDS.items() for w in words.split()}
+_SHARED = {w for words in COMMON_WORDS.values() for w in set(words.split()) if sum(w in x.split() for x in COMMON_WORDS.values()) > 1}
+_PIECES = regex.compile(r"[\p{L}\p{M}]+|[¿¡]")
+
+
+def languages(text: str, script: str) -> tuple[str, ...]:
+    """The languages whose tables apply to a paragraph of ``script``."""
+    every = SCRIPTS[script]
+    if script != "latin":
+        return every
+    counts = dict.fromkeys(every, 0)
+    low = text.lower()
+    for word in [*_PIECES.findall(low), *(c for c in low if not c.isascii())]:
+        if word in _COUNTED and word not in _SHARED:
+            counts[_COUNTED[word]] += 1
+    first, second = sorted(counts.values())[:-3:-1]
+    return (max(counts, key=counts.get),) if first >= 3 and not second else every
+
+
 @lru_cache(maxsize=None)
-def cascade(scripts: tuple[str, ...], listed: bool = True) -> tuple[regex.Pattern, tuple[bool, ...]]:
-    """All tables of some scripts as one ordered alternation, and each rule's verdict."""
-    rules = [r for s in scripts for language in SCRIPTS[s] for r in _table(language)] + COMMON
+def cascade(chosen: tuple[str, ...], listed: bool = True) -> tuple[regex.Pattern, tuple[bool, ...]]:
+    """The tables of some languages as one ordered alternation, and each rule's verdict."""
+    rules = [r for language in chosen for r in _table(language)] + COMMON
     rules = [r for r in rules if listed or not r[1].startswith(("^", "(?<!"))]
     body = "|".join(rf"((?<={before})(?={after}))" for _, before, after in rules)
     return regex.compile(body), tuple(r[0] for r in rules)
 
 
+_STRAIGHT = regex.compile('"')
 _MARKS = [(left, right, regex.compile(f"[{regex.escape(left)}{regex.escape(right)}]")) for left, right in PAIRS]
 
 
 def _protected(text: str) -> list[tuple[int, int]]:
     """Spans of quotations and brackets that close in ``text``, outermost ones only."""
     spans = []
-    if '"' in text:
-        marks = [m.start() for m in regex.finditer('"', text)]
-        spans += list(zip(marks[::2], (x + 1 for x in marks[1::2])))
+    opened = None
+    for m in _STRAIGHT.finditer(text):
+        # A straight mark opens after a blank or an opening mark and before a letter; it
+        # closes after anything but a blank. One that can do neither, as for inches, is none.
+        at = m.start()
+        before, after = text[at - 1 : at] if at else " ", text[at + 1 : at + 2] or " "
+        if opened is None:
+            if not after.isspace() and (before.isspace() or not (before.isalnum() or before in ".,;:!?")):
+                opened = at
+        elif not before.isspace():
+            spans.append((opened, at + 1))
+            opened = None
     for left, right, either in _MARKS:
         if left not in text:
             continue
@@ -176,7 +214,7 @@ def _protected(text: str) -> list[tuple[int, int]]:
 def _cuts(text: str) -> list[int]:
     """Where sentences of one paragraph end, in its own offsets."""
     seen = [name for name, letter in _SCRIPT.items() if letter.search(text)]
-    scripts = tuple(seen)
+    chosen = None
     spots = {m.end(): m.start() for m in _CANDIDATE.finditer(text)}
     if "thai" in seen:
         spots |= {m.start(): m.start() for m in _THAI_GAP.finditer(text)}
@@ -191,7 +229,9 @@ def _cuts(text: str) -> list[int]:
         if listed:
             run = _RUN.match(text, 0, mark).group()
             listed = len(run) < 2 or run.lower() in _LISTED
-        rules, verdicts = cascade(scripts, listed)
+        if chosen is None:
+            chosen = tuple(x for script in seen for x in languages(text, script))
+        rules, verdicts = cascade(chosen, listed)
         m = rules.match(text, at)
         if m and verdicts[m.lastindex - 1]:
             cuts.append(at)

@@ -455,3 +455,13 @@ def test_sentence_spans_edges(spark):
     df = spark.createDataFrame([(1, None, 5), (2, "", 5), (3, " \n ", 5), (4, "One. Two.", 5), (5, LONG, 5)], "doc_id long, text string, start_at int")
     assert [tuple(r) for r in sentences.sentence_spans(df).orderBy("doc_id", "start_at").collect()] == [(4, 0, 4), (4, 5, 9), (5, 0, len(LONG.strip()))]
     assert sentences.sentence_spans(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("text,count", [('The screen is 5" wide. It works. The other is 7" wide. It fails.', 4), ('She said "Go. Now." and left. It "fell".', 2), ("He paid for the art. It was not what she had hoped to see.", 2), ("Er ist der Sohn von Prof. Rot und nicht mit auf der Reise.", 1)])
+def test_straight_quotes_and_languages(text, count):
+    assert len(sentences.split(text)) == count
+
+
+def test_languages_of_a_paragraph():
+    assert sentences.languages("The cat and the dog was here", "latin") == ("en",) and sentences.languages("The cat and der Hund und das Haus", "latin") == sentences.SCRIPTS["latin"]
+    assert sentences.languages("", "latin") == sentences.SCRIPTS["latin"] and sentences.languages("дом", "cyrillic") == ("ru",)
