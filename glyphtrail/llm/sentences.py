@@ -214,7 +214,8 @@ def _protected(text: str) -> list[tuple[int, int]]:
 def _cuts(text: str) -> list[int]:
     """Where sentences of one paragraph end, in its own offsets."""
     seen = [name for name, letter in _SCRIPT.items() if letter.search(text)]
-    chosen = None
+    # Only rules with word lists differ between languages of one script.
+    every, chosen = tuple(x for script in seen for x in SCRIPTS[script]), None
     spots = {m.end(): m.start() for m in _CANDIDATE.finditer(text)}
     if "thai" in seen:
         spots |= {m.start(): m.start() for m in _THAI_GAP.finditer(text)}
@@ -229,9 +230,9 @@ def _cuts(text: str) -> list[int]:
         if listed:
             run = _RUN.match(text, 0, mark).group()
             listed = len(run) < 2 or run.lower() in _LISTED
-        if chosen is None:
+        if listed and chosen is None:
             chosen = tuple(x for script in seen for x in languages(text, script))
-        rules, verdicts = cascade(chosen, listed)
+        rules, verdicts = cascade(chosen if listed else every, listed)
         m = rules.match(text, at)
         if m and verdicts[m.lastindex - 1]:
             cuts.append(at)
