@@ -9,6 +9,9 @@ Geometry columns: session_id, cap, scale, scroll_x, scroll_y, page_top, view_hei
 inner (struct top, height, cid or null), sticky (array of struct<rect array<double>,
 fixed boolean>), exclusions (array of array<double>), carousels (array of struct<rect
 array<double>, scroll_left double, animating boolean>), age_ms.
+Position columns, if there is a table of last known positions: session_id, text, x, y,
+where the text stood before, and cap if that differs by capture. Without a table, or for a text not in it,
+stability is neutral; of several positions of a text the nearest counts.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphtrail.functions import confidence as conf
-from glyphtrail.functions.geometry import Box
+from glyphtrail.functions.geometry import Box, distance
 from glyphtrail.functions.stats import fence_limits
 
 EXCLUSION, MIN_SHARE, DEFAULT_SHARE, STICKY_COVER = 0.5, 0.30, 0.6, 0.5
@@ -39,7 +42,7 @@ def height_fence(groups: DataFrame) -> DataFrame:
     return rows.withColumn("fence", upper).drop("place", "n")
 
 
-def classify(groups: DataFrame, geometry: DataFrame, exclusion: float = EXCLUSION) -> DataFrame:
+def classify(groups: DataFrame, geometry: DataFrame, exclusion: float = EXCLUSION, positions: DataFrame | None = None) -> DataFrame:
     """One row per group: fate, context, page rectangle and confidences."""
     per = F.when(F.col("scale") > 0.001, 1 / F.col("scale")).otherwise(1.0)
     rows = groups.join(geometry, ["session_id", "cap"])
@@ -68,5 +71,19 @@ def classify(groups: DataFrame, geometry: DataFrame, exclusion: float = EXCLUSIO
     fate = F.when(F.col("excluded"), "excluded").when(deferred, "deferred").when(tall, "too_tall").otherwise("classified")
     height = F.col("b") - F.col("t")
     text = F.when(F.col("conf").isNull() | F.isnan("conf"), conf.raw_text_confidence(F.col("text"), box.width, height)).otherwise(F.col("conf"))
-    pos = conf.position_confidence(conf.freshness(F.col("age_ms")), F.lit(0.5))
+    if positions is None:
+        stable = F.lit(0.5)
+    else:
+        rows = _moved(rows, positions, page)
+        stable = conf.stability(F.col("delta"), F.col("mean_height"))
+    pos = conf.position_confidence(conf.freshness(F.col("age_ms")), stable)
     return rows.select("session_id", "cap", "id", fate.alias("fate"), kind.alias("kind"), F.when(F.col("is_sticky"), -1).otherwise(F.col("hz")).alias("hz"), "from_sticky", F.when(F.col("in_inner"), F.col("inner.cid")).alias("cid"), *[F.round(e, 6).alias(n) for n, e in zip("ltrb", page.edges)], F.round(pos, 6).alias("pconf"), F.round(text, 6).alias("tconf"))
+
+
+def _moved(rows: DataFrame, positions: DataFrame, page: Box) -> DataFrame:
+    """Adds ``delta``, how far a text is from where it stood, and the capture's mean height."""
+    key = [c for c in ("session_id", "cap", "text") if c in positions.columns]
+    placed = rows.withColumn("page_x", page.left).withColumn("page_y", page.top).withColumn("mean_height", F.avg(F.col("b") - F.col("t")).over(Window.partitionBy("session_id", "cap")))
+    met = placed.select("session_id", "cap", "text", "id", "page_x", "page_y").join(positions.select(*key, "x", "y"), key)
+    away = met.groupBy("session_id", "cap", "id").agg(F.min(distance(F.col("page_x") - F.col("x"), F.col("page_y") - F.col("y"))).alias("delta"))
+    return placed.join(away, ["session_id", "cap", "id"], "left")

@@ -188,3 +188,30 @@ def decisions(blocks: DataFrame, knobs: Knobs = Knobs()) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 8, types)], names=names)
 
     return _sorted(blocks).mapInArrow(run, "session_id string, cap int, id long, accepted boolean, reasons array<string>, length int, gap double, threshold double")
+
+
+_LINES = [("session_id", pa.string()), ("cap", pa.int32()), ("id", pa.int64()), ("piece", pa.int32()), ("lines", pa.int32()), ("text", pa.string()), *[(e, pa.float64()) for e in "ltrb"]]
+
+
+def line_units(blocks: DataFrame, knobs: Knobs | None = Knobs()) -> DataFrame:
+    """Units of blocks that come with their lines (M6, U5, ST13, ST14).
+
+    ``blocks`` has session_id, cap, id, text, l, t, r, b and ``lines``, an array of
+    structs text, l, t, r, b. A block with a sentence end before its last line is cut
+    there; the pieces and the paragraphs of the others come in one order by top. Without
+    ``knobs`` every block is a unit of its own. Rows (session_id, cap, id of the first
+    block, piece, lines, text, l, t, r, b); ``piece`` is the unit's place in its capture.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = []
+        for (session, cap), rows in captures_of(batches, ("session_id", "cap")):
+            made = [Line(r["id"], (r["l"], r["t"], r["r"], r["b"]), r["text"], [(x["text"], (x["l"], x["t"], x["r"], x["b"])) for x in r["lines"] or ()]) for r in rows]
+            for piece, unit in enumerate(by_lines(made) if knobs is None else group(made, knobs)[0]):
+                box = [f(x.rect[i] for x in unit) for i, f in enumerate((min, min, max, max))]
+                out.append((session, cap, unit[0].id, piece, sum(len(x.lines) for x in unit), " ".join(x.text for x in unit), *box))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*out) if out else [[]] * len(_LINES), _LINES)], names=[n for n, _ in _LINES])
+
+    columns = ["session_id", "cap", "id", "text", *"ltrb", "lines"]
+    placed = blocks.select(*columns).repartition("session_id", "cap").sortWithinPartitions("session_id", "cap", "id")
+    return placed.mapInArrow(run, "session_id string, cap int, id long, piece int, lines int, text string, l double, t double, r double, b double")

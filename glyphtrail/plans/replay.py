@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import replace
 
@@ -35,13 +36,56 @@ ARMS: dict[str, Config] = {
     "band_retain": Config(band_mode="admit", missed_frames=2),
 }
 
+def parse_levers(arguments: list[str]) -> Config:
+    """A configuration from ``--floor=<px>``, ``--reanchor=<count>`` and ``--adopt``.
+
+    Adoption is off unless it is asked for. Other arguments are left to others; a
+    malformed one raises ValueError with its text. The last of equal ones counts.
+    """
+    floor, reanchor, adopt = None, None, False
+    for argument in arguments:
+        name, given, value = argument.partition("=")
+        try:
+            if name == "--floor":
+                floor = float(value)
+                if not 0 < floor < math.inf:
+                    raise ValueError
+            elif name == "--reanchor":
+                reanchor = int(value)
+                if reanchor < 1:
+                    raise ValueError
+            elif name == "--adopt":
+                if given:
+                    raise ValueError
+                adopt = True
+        except ValueError:
+            raise ValueError(f"malformed argument: {argument}") from None
+    return Config(floor_px=floor, reanchor_blocks=reanchor, adopt=adopt)
+
+
+def bucket_policy(name: str) -> Policy | None:
+    """A cell policy by name: ``fixed``, ``median``, or ``viewport:<width>x<height>``."""
+    if name == "fixed":
+        return None
+    if name == "median":
+        return median_cells
+    kind, _, size = name.partition(":")
+    width, _, height = size.partition("x")
+    try:
+        if kind == "viewport" and 0 < float(width) < math.inf and 0 < float(height) < math.inf:
+            return viewport_cells(float(width), float(height))
+    except ValueError:
+        pass
+    raise ValueError(f"unknown cell policy: {name}")
+
+
 _COLUMNS = ("id", "kind", "hz", "cid", "inner_top", *"ltrb", "text", "pconf", "tconf", "srcq", "obs", "provisional")
 
 _LOG = [
     ("session_id", pa.string()), ("arm", pa.string()), ("cap", pa.int32()), ("event", pa.string()), ("how", pa.string()), ("fresh_id", pa.int64()), ("track", pa.int64()),
     ("dx", pa.float64()), ("dy", pa.float64()), ("top_lag", pa.float64()), ("obs_before", pa.int32()), ("pconf", pa.float64()), ("tconf", pa.float64()), ("response", pa.string()), ("remaining", pa.int32()),
     ("merged", pa.int32()), ("admitted", pa.int32()), ("retained", pa.int32()), ("dropped", pa.int32()), ("contradictions", pa.int32()), ("invalidated", pa.int32()), ("settled", pa.int32()),
-    ("shift_x", pa.float64()), ("shift_y", pa.float64()), ("shift_members", pa.int32()), ("scale", pa.float64()), ("residual", pa.float64()), ("digest", pa.string()),
+    ("shift_x", pa.float64()), ("shift_y", pa.float64()), ("shift_members", pa.int32()), ("shift_source", pa.string()), ("scale", pa.float64()), ("residual", pa.float64()), ("digest", pa.string()),
 ]
 _NAMES = [n for n, _ in _LOG]
 _TYPES = {"string": "string", "int32": "int", "int64": "long", "double": "double"}
@@ -78,7 +122,7 @@ def log_rows(session: str, arm: str, cap: int, result: dict) -> Iterator[dict]:
     yield {
         **key, "event": "capture", "merged": result["merged"], "admitted": result["admitted"], "retained": len(result["retained"]), "dropped": result["dropped"],
         "contradictions": len(result["grouping"]) + len(result["splitting"]), "invalidated": len(result["invalidated"]), "settled": len(result["settled"]), "shift_x": shift.get("tx"), "shift_y": shift.get("ty"),
-        "shift_members": shift.get("members"), "scale": fit.get("scale"), "residual": fit.get("residual"), "digest": digest(result),
+        "shift_members": shift.get("members"), "shift_source": shift.get("source"), "scale": fit.get("scale"), "residual": fit.get("residual"), "digest": digest(result),
     }
 
 
@@ -143,3 +187,30 @@ def replay(blocks: DataFrame, arms: dict[str, Config] | None = None, captures: D
         yield as_batch(out)
 
     return placed.mapInArrow(run, SCHEMA)
+
+
+def largest_firing_floor(blocks: DataFrame, low: int = 1, high: int = 4096, at_once: int = 8) -> int | None:
+    """The largest whole floor from ``low`` to ``high`` under which some step follows it.
+
+    None if none does at ``low``. Each round replays ``at_once`` floors as arms of one
+    job and keeps the span between the last that fires and the first that does not.
+    """
+
+    def firing(floors: list[int]) -> set[int]:
+        log = replay(blocks, {str(f): Config(floor_px=float(f)) for f in floors})
+        rows = log.where("event = 'capture' and shift_source = 'floor'").select("arm").distinct().collect()  # at most at_once rows
+        return {int(r[0]) for r in rows}
+
+    ends = firing([low, high])
+    if high in ends:
+        return high
+    if low not in ends:
+        return None
+    while high - low > 1:
+        step = max(1, (high - low) // (at_once + 1))
+        floors = list(range(low + step, high, step))[:at_once]
+        fires = firing(floors)
+        after = [f for f in floors if f not in fires]
+        high = min([high, *after])
+        low = max([low, *(f for f in fires if f < high)])
+    return low

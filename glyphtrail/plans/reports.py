@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,9 +41,29 @@ def capture_series(log: DataFrame, captures: DataFrame) -> DataFrame:
 
 
 def arm_digests(log: DataFrame) -> DataFrame:
-    """One digest per arm over all its capture digests in order."""
-    each = log.where("event = 'capture'").groupBy("arm", "session_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", F.lpad(F.col("cap").cast("string"), 10, "0"), "digest"))), ""), 256).alias("h"))
-    return each.groupBy("arm").agg(F.count(F.lit(1)).alias("sessions"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "session_id", "h"))), ""), 256).alias("digest"))
+    """One digest per arm over all its capture digests.
+
+    A sum of hashes of (session, capture, digest): the same for any order, with partial
+    sums on the map side, and no list of captures or sessions anywhere.
+    """
+    rows = log.where("event = 'capture'")
+    part = F.xxhash64("session_id", "cap", "digest").cast("decimal(38,0)")
+    return rows.groupBy("arm").agg(F.count(F.lit(1)).alias("captures"), F.sha2(F.sum(part).cast("string"), 256).alias("digest"))
+
+
+def step_rule(log: DataFrame, move: int = 7, after: tuple[int, ...] = (0, 3, 5)) -> DataFrame:
+    """Lag of every arm at the move and some captures later, against half of the damped arm's.
+
+    Columns: session_id, arm, lag_0, lag_3, ..., passes: at each of these captures that
+    the damped arm has, the lag is there and at most half of the damped one. ``move`` is
+    the place of the capture at which the page moved, counted from 0.
+    """
+    lags = log.where((F.col("event") == "merge") & F.col("cap").isin(*[move + o for o in after])).groupBy("session_id", "arm").agg(*[F.avg(F.when(F.col("cap") == move + o, F.col("top_lag"))).alias(f"lag_{o}") for o in after])
+    arms = log.where("event = 'capture'").select("session_id", "arm").distinct()
+    lags = arms.join(lags, ["session_id", "arm"], "left")
+    damp = lags.where("arm = 'damp'").select("session_id", *[F.col(f"lag_{o}").alias(f"damp_{o}") for o in after])
+    fine = [F.col(f"damp_{o}").isNull() | F.coalesce(F.col(f"lag_{o}") <= F.col(f"damp_{o}") / 2, F.lit(False)) for o in after]
+    return lags.join(damp, "session_id").select("session_id", "arm", *[F.round(f"lag_{o}", 4).alias(f"lag_{o}") for o in after], reduce(Column.__and__, fine).alias("passes"))
 
 
 def half_of_damp(log: DataFrame) -> DataFrame:

@@ -102,17 +102,6 @@ class Block:
         inner, lane = self.kind == "inner", self.hz >= 0
         return 40 if self.view else 30 if inner and lane else 20 if inner or lane else 10
 
-    @property
-    def space(self) -> str:
-        if self.weight >= 30 or (self.kind == "inner" and self.cid is None):
-            return "unknown:0"
-        where = f"ic:{self.cid}" if self.kind == "inner" else "normal"
-        return f"{where}:{S.region(self.rect[1])}"
-
-    @property
-    def drifts(self) -> bool:
-        return not (self.weight >= 30 or (self.weight == 20 and (self.hz >= 0 or self.cid is None)))
-
     @property
     def quality(self) -> float:
         return 0.4 * self.pconf + 0.6 * self.tconf
@@ -123,6 +112,24 @@ class Block:
         return 0.35 if cjk >= 0.6 else 0.65 if cjk < 0.3 and len(self.text) <= 8 else 0.50
 
 
+class Spaces:
+    """Which blocks share one drift, and which are left out of it; replace to define others.
+
+    ``size`` is the height of a region, the same that keys are made of.
+    """
+
+    size = 500.0
+
+    def key(self, b: Block) -> str:
+        if b.weight >= 30 or (b.kind == "inner" and b.cid is None):
+            return "unknown:0"
+        where = f"ic:{b.cid}" if b.kind == "inner" else "normal"
+        return f"{where}:{math.floor(b.rect[1] / self.size)}"
+
+    def drifts(self, b: Block) -> bool:
+        return not (b.weight >= 30 or (b.weight == 20 and (b.hz >= 0 or b.cid is None)))
+
+
 def same_lane(a: Block, b: Block) -> bool:
     return a.hz < 0 or b.hz < 0 or a.hz == b.hz
 
@@ -132,8 +139,7 @@ class Grid:
 
     def __init__(self, config: Config, blocks: list[Block] = ()) -> None:
         self.w, self.h = config.cell_width, config.cell_height
-        self.cells: dict[tuple, list[Block]] = {}
-        self.all: list[Block] = []
+        self.clear()
         for b in blocks:
             self.add(b)
 
@@ -143,20 +149,35 @@ class Grid:
         return own + ([("ic", own[0][1], S.half_up((y - b.inner_top) / self.h))] if b.kind == "inner" else [])
 
     def add(self, b: Block) -> None:
-        self.all.append(b)
+        self.held[id(b)] = b
         for cell in self._own(b):
-            self.cells.setdefault(cell, []).append(b)
+            self.cells.setdefault(cell, {})[id(b)] = b
 
     def remove(self, b: Block) -> None:
-        self.all = [x for x in self.all if x is not b]
+        self.held.pop(id(b), None)
         for cell in self._own(b):
-            self.cells[cell] = [x for x in self.cells.get(cell, ()) if x is not b]
+            self.cells.get(cell, {}).pop(id(b), None)
+
+    def clear(self) -> None:
+        self.cells: dict[tuple, dict[int, Block]] = {}
+        self.held: dict[int, Block] = {}
+
+    def rebuild(self, blocks: list[Block], width: float | None = None, height: float | None = None) -> None:
+        """Start again with other blocks and, if given, another cell size."""
+        self.w, self.h = width or self.w, height or self.h
+        self.clear()
+        for b in blocks:
+            self.add(b)
+
+    @property
+    def all(self) -> list[Block]:
+        return list(self.held.values())
 
     def _gather(self, cells) -> list[Block]:  # noqa: ANN001
         found: dict[int, Block] = {}
         for cell in cells:
-            for b in self.cells.get(cell, ()):
-                found.setdefault(id(b), b)
+            for key, b in self.cells.get(cell, {}).items():
+                found.setdefault(key, b)
         return list(found.values())
 
     def near(self, b: Block) -> list[Block]:
@@ -172,15 +193,16 @@ class Grid:
 class Drift:
     """Rings of the last displacements and heights of each region."""
 
-    def __init__(self) -> None:
+    def __init__(self, spaces: Spaces | None = None) -> None:
+        self.spaces = spaces or Spaces()
         self.rings: dict[str, deque] = {}
         self.propagated: dict[str, tuple[float, float]] = {}
         self.emitted: dict[str, int] = {}
         self.total = 0
 
     def add(self, b: Block, dx: float, dy: float) -> None:
-        if b.drifts and math.isfinite(dx) and math.isfinite(dy):
-            self.rings.setdefault(b.space, deque(maxlen=RING)).append((dx, dy, S.height_of(b.rect)))
+        if self.spaces.drifts(b) and math.isfinite(dx) and math.isfinite(dy):
+            self.rings.setdefault(self.spaces.key(b), deque(maxlen=RING)).append((dx, dy, S.height_of(b.rect)))
             self.total += 1
 
     def height(self, key: str) -> float:
@@ -214,7 +236,7 @@ class Drift:
         self.rings.pop(key, None)
 
     def clear_region(self, top: float, bottom: float) -> None:
-        low, high = S.region(top), S.region(bottom)
+        low, high = math.floor(top / self.spaces.size), math.floor(bottom / self.spaces.size)
         for key in [k for k in self.rings if low <= int(k.rpartition(":")[2]) <= high]:
             del self.rings[key]
 
@@ -259,21 +281,34 @@ class Session:
 
     Hooks, all optional: ``spatial`` (fresh, track) confirms a relaxed match in place of
     the overlap test; ``merger`` (track, fresh, merged) may replace what a merge made;
-    ``check`` of :meth:`step` (fresh, track) flags a text as invalid in its context.
+    ``check`` of :meth:`step` (fresh, track) flags a text as invalid in its context;
+    ``spaces`` says which blocks share a drift; ``logger`` (message) is told of dropped
+    and evicted blocks and, at the ``clock``'s time, of every step. A logger that fails
+    stops nothing.
     """
 
-    def __init__(self, config: Config = Config(), spatial=None, merger=None) -> None:  # noqa: ANN001
-        self.config, self.spatial, self.merger = config, spatial, merger
+    def __init__(self, config: Config = Config(), spatial=None, merger=None, spaces: Spaces | None = None, logger=None, clock=None) -> None:  # noqa: ANN001
+        self.config, self.spatial, self.merger, self.logger, self.clock = config, spatial, merger, logger, clock
         self.tracks: list[Block] = []
-        self.drift = Drift()
+        self.drift = Drift(spaces)
         self.stats = dict.fromkeys(("primary", "no_primary", "considered", "floor", "spatial", "text", "identified", "admitted"), 0)
         self.next_track = 0
 
+    def _space(self, b: Block) -> str:
+        return self.drift.spaces.key(b)
+
+    def _tell(self, message: str) -> None:
+        if self.logger is not None:
+            try:
+                self.logger(message)
+            except Exception:  # noqa: BLE001
+                self.logger = None
+
     # -- dedup ---------------------------------------------------------------------
 
     def dedup(self, fresh: list[Block]) -> tuple[list[Block], Grid]:
         """One greedy pass: same key, neighbouring key, then overlap with kept rows."""
-        kept, seen, grid, key_of = [], set(), Grid(self.config), {}
+        kept, seen, grid, key_of, spot = [], set(), Grid(self.config), {}, {}
         for b in fresh:
             if not S.normalize(b.text):
                 continue
@@ -281,16 +316,20 @@ class Session:
             around = () if b.view else ((i, j) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j)
             if key in seen or any(block_key(b, self.config, i, j) in seen for i, j in around):
                 continue
-            margin = self.drift.margin(b.space)
+            margin = self.drift.margin(self._space(b))
             rival = next((x for x in grid.near(b) if overlaps(b, x, margin)), None)
             verdict = "keep" if rival is None else resolve(b, rival, margin)
             if verdict == "drop":
+                self._tell(f"dropped {b.id}: covered by {rival.id}")
                 continue
             if verdict == "evict":
-                kept[next(i for i, x in enumerate(kept) if x is rival)] = b
+                self._tell(f"evicted {rival.id}: replaced by {b.id}")
+                spot[id(b)] = spot.pop(id(rival))
+                kept[spot[id(b)]] = b
                 grid.remove(rival)
                 seen.discard(key_of.pop(id(rival), None))
             else:
+                spot[id(b)] = len(kept)
                 kept.append(b)
             grid.add(b)
             seen.add(key)
@@ -302,7 +341,7 @@ class Session:
     def find(self, b: Block, grid: Grid, snapshot: dict, *, dry: bool = False) -> tuple[Block | None, str]:
         """(track, how): 'primary', 'band', 'nested' or 'new'."""
         c, best, rank, band = self.config, None, None, None
-        dx, dy = snapshot.get(b.space, (0.0, 0.0))
+        dx, dy = snapshot.get(self._space(b), (0.0, 0.0))
         x, y = S.center(b.rect)
         for t in grid.near(b):
             if t.view != b.view:
@@ -338,7 +377,7 @@ class Session:
     def _band_stage(self, b: Block, t: Block, lev: float, jac: float) -> str:
         if t.obs < self.config.band_floor:
             return "floor"
-        near = self.spatial(b, t) if self.spatial else S.overlap_ratio(b.rect, t.rect, self.drift.margin(t.space)) >= 0.80
+        near = self.spatial(b, t) if self.spatial else S.overlap_ratio(b.rect, t.rect, self.drift.margin(self._space(t))) >= 0.80
         if not near:
             return "spatial"
         return "identified" if lev >= self.config.band_lev or jac >= self.config.band_jac else "text"
@@ -389,7 +428,7 @@ class Session:
         for arrival, (b, t) in enumerate(found):
             if t is None or t.provisional or b.view or b.hz >= 0 or t.hz >= 0:
                 continue
-            drift = self.drift.median(b.space)
+            drift = self.drift.median(self._space(b))
             dx, dy = b.rect[0] - drift[0] - t.rect[0], b.rect[1] - drift[1] - t.rect[1]
             h = S.height_of(t.rect)
             if math.hypot(dx, dy) > 3 * h:
@@ -399,8 +438,23 @@ class Session:
         moved.sort(key=lambda m: m[:6])
 
         def window(rows: list[tuple], least: int) -> list[tuple] | None:
-            for size in range(len(rows), least - 1, -1):
-                for at in range(len(rows) - size + 1):
+            """The first of the largest runs, by displacement, whose members agree.
+
+            Both ends of a run are within the tolerance of its middle, so a run spans at
+            most twice that; no longer one is tried from a start.
+            """
+            spread, end, reach = 2 * c.tolerance * max((r[4] for r in rows), default=0.0) * (1 + 1e-9), 0, []
+            for at, row in enumerate(rows):
+                while end < len(rows) and rows[end][0] - row[0] <= spread:
+                    end += 1
+                reach.append(end - at)
+            starts: dict[int, list[int]] = {}
+            for at, most in enumerate(reach):
+                starts.setdefault(most, []).append(at)
+            able: list[int] = []
+            for size in range(max(reach, default=0), least - 1, -1):
+                able = sorted(able + starts.get(size, []))
+                for at in able:
                     part = rows[at : at + size]
                     mx, my, mh = (S.median([p[i] for p in part]) for i in (1, 0, 4))
                     if all(math.hypot(p[1] - mx, p[0] - my) <= c.tolerance * min(p[4], mh) for p in part):
@@ -465,7 +519,7 @@ class Session:
         if track_drift:
             self.drift.add(b, b.rect[0] - t.rect[0], b.rect[1] - t.rect[1])
         member = plan is not None and id(t) in plan["members"]
-        dx, dy = plan["members"][id(t)] if member else self.drift.median(b.space)
+        dx, dy = plan["members"][id(t)] if member else self.drift.median(self._space(b))
         fresh, base, response = S.shift(b.rect, -dx, -dy), t.rect, None
         scale = 3 * S.height_of(t.rect)
         anchor = t.pconf * (1 if c.position == "legacy" else max(1, t.obs))
@@ -492,7 +546,7 @@ class Session:
                 raise ValueError(f"confidence of block {i} is not in [0, 1]")
         fresh, batch = self.dedup(capture)
         grid = Grid(self.config, self.tracks)
-        snapshot = {b.space: self.drift.median(b.space) for b in fresh}
+        snapshot = {self._space(b): self.drift.median(self._space(b)) for b in fresh}
         grouped, split = self.grouping(fresh, batch), self.splitting(fresh, grid)
         contradicted = {id(t) for t, _ in grouped}
         plan = None
@@ -546,6 +600,8 @@ class Session:
             elif id(t) not in matched:
                 take(b, t, "nested")
         retained, dropped = self._retain(stable, matched, grid)
+        when = f" at {self.clock()}" if self.clock else ""
+        self._tell(f"step{when}: {merged} merged, {admitted} admitted, {len(retained)} retained, {dropped} dropped")
         self.tracks = [*stable, *retained]
         return {
             "stable": stable, "retained": retained, "dropped": dropped, "merged": merged, "admitted": admitted, "log": log, "grouping": grouped, "splitting": split,
@@ -571,7 +627,7 @@ class Session:
         return kept, len(rest) - len(kept)
 
     def uncorrected(self, key: str) -> list[Block]:
-        return [t for t in self.tracks if t.space == key and t.obs < WELL_OBSERVED]
+        return [t for t in self.tracks if self._space(t) == key and t.obs < WELL_OBSERVED]
 
     # -- state ----------------------------------------------------------------------------------
 

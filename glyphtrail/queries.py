@@ -173,19 +173,11 @@ def q_text_similarity(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-WITH x AS (SELECT freeze_id AS id, {_sig('heldtext')} AS w, substr({_sig('freshtext')}, 3, 10) AS f FROM freezes WHERE heldtext IS NOT NULL AND freshtext IS NOT NULL),
+WITH x AS (SELECT freeze_id AS id, {_sig('heldtext')} AS w, {_sig('freshtext')} AS f FROM freezes WHERE heldtext IS NOT NULL AND freshtext IS NOT NULL),
 y AS (SELECT id, w, f, unnest(CASE WHEN length(f) >= 4 AND length(f) <= length(w) THEN range(1, length(w) - length(f) + 2) ELSE [NULL] END) AS i FROM x),
 z AS (SELECT id, f, substr(w, i, length(f)) AS piece FROM y)
 SELECT id, round(max(CASE WHEN piece IS NULL THEN 0.0 ELSE 1.0 - ({_dist('f', 'piece')})::DOUBLE / length(f) END), 6) AS score FROM z GROUP BY id""")
 def q_best_window(spark: SparkSession, d: str) -> DataFrame:
-    """Best window of the held text for a piece of the fresh one."""
-    rows = table(spark, d, "freezes").where("heldtext is not null and freshtext is not null")
-    score = T.best_window(F.substring(T.significant(F.col("freshtext")), 3, 10), T.significant(F.col("heldtext")))
-    return rows.select(F.col("freeze_id").alias("id"), _r(score).alias("score"))
-
-
-@query()
-def q_best_window_whole(spark: SparkSession, d: str) -> DataFrame:
     """Best window of the held text for the whole fresh one."""
     rows = table(spark, d, "freezes").where("heldtext is not null and freshtext is not null")
     score = T.best_window(T.significant(F.col("freshtext")), T.significant(F.col("heldtext")))
@@ -236,6 +228,28 @@ def q_capture_confidence(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.col("merge_id").alias("id"), _r(fresh).alias("fresh"), _r(stable).alias("stable"), _r(conf.position_confidence(fresh, stable)).alias("pconf"))
 
 
+@query("""
+WITH x AS (SELECT block_id AS id, otext AS s, hex(encode(otext)) AS h FROM obs_blocks WHERE otext IS NOT NULL)
+SELECT id, lower(printf('%016x', list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(range(0, length(h) // 2), lambda i: ('0x' || substr(h, i * 2 + 1, 2))::INT::UHUGEINT)),
+  lambda a, b: (xor(a, b) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT)) AS fnv, min(id) OVER (PARTITION BY s) AS same_text FROM x""")
+def q_text_hashes(spark: SparkSession, d: str) -> DataFrame:
+    """Byte hash of every text, and the first row with an equal stable hash."""
+    rows = table(spark, d, "obs_blocks").where("otext is not null").select(F.col("block_id").alias("id"), "otext", T.text_hash(F.col("otext")).alias("h"))
+    first = rows.groupBy("h").agg(F.min("id").alias("same_text"))
+    return rows.join(first, "h").select("id", T.fnv1a64_hex("otext").alias("fnv"), "same_text")
+
+
+@query("""
+SELECT session_id, CASE WHEN len(bk) = 2 AND bk[1] > 0 AND bk[2] > 0 THEN bk[1] END AS bucket_x, CASE WHEN len(bk) = 2 AND bk[1] > 0 AND bk[2] > 0 THEN bk[2] END AS bucket_y,
+  CASE WHEN vp[1] >= 0 THEN round(vp[1], 2) END AS width, CASE WHEN vp[1] >= 0 THEN round(vp[2], 2) END AS height FROM sessions""")
+def q_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Number pairs of the sessions, and viewports written and read as text."""
+    bk = captures.pair(F.col("bk"))
+    text = F.when(F.col("vp").isNotNull(), F.concat(F.get("vp", F.lit(0)).cast("decimal(18,2)").cast("string"), F.lit("x"), F.get("vp", F.lit(1)).cast("decimal(18,2)").cast("string")))
+    view = captures.viewport_text(text)
+    return table(spark, d, "sessions").select("session_id", F.get(bk, F.lit(0)).alias("bucket_x"), F.get(bk, F.lit(1)).alias("bucket_y"), F.get(view, F.lit(0)).alias("width"), F.get(view, F.lit(1)).alias("height"))
+
+
 # --- coordinates and keys ---------------------------------------------------------
 
 
@@ -543,13 +557,36 @@ def q_transform_fit(spark: SparkSession, d: str) -> DataFrame:
     return _fit(spark, d).select("session_id", "cap", "pairs", "rejected", _r("scale").alias("scale"), _r("tx", 4).alias("tx"), _r("ty", 4).alias("ty"), _r("span", 4).alias("span"))
 
 
-@query()
+_QUALITY = """
+, fitted AS MATERIALIZED (SELECT session_id, cap, n AS pairs, sxy / sxx AS scale, mx1 - sxy / sxx * mx0 AS tx, my1 - sxy / sxx * my0 AS ty FROM s2 WHERE sxx > 0 AND sxy / sxx > 0),
+e AS (SELECT session_id, cap, sqrt(avg((scale * x0 + tx - x1) ** 2 + (scale * y0 + ty - y1) ** 2)) AS residual, max(x0) - min(x0) AS ex, max(y0) - min(y0) AS ey FROM p2 JOIN fitted USING (session_id, cap) GROUP BY ALL),
+along AS (SELECT session_id, cap, greatest(ex, ey) AS extent, CASE WHEN ex >= ey THEN x0 ELSE y0 END AS v FROM p2 JOIN e USING (session_id, cap)),
+gaps AS (SELECT session_id, cap, extent, v - lag(v) OVER (PARTITION BY session_id, cap ORDER BY v) AS gap FROM along),
+g AS (SELECT session_id, cap, CASE WHEN any_value(extent) > 0 THEN coalesce(max(gap), 0) / any_value(extent) ELSE 0 END AS largest_gap FROM gaps GROUP BY ALL),
+quality AS (SELECT session_id, cap, pairs, scale, tx, ty, residual, largest_gap FROM fitted JOIN e USING (session_id, cap) JOIN g USING (session_id, cap))
+"""
+_FITTED = BASE + _STEP + _FIT.rpartition("SELECT session_id, cap, n AS pairs")[0] + _QUALITY
+
+
+@query(_FITTED + """
+SELECT session_id, cap, round(residual, 4) AS residual, round(largest_gap, 4) AS largest_gap, CASE WHEN abs(1 - scale) >= 1e-9 THEN round(tx / (1 - scale), 2) END AS fixed_x, CASE WHEN abs(1 - scale) >= 1e-9 THEN round(ty / (1 - scale), 2) END AS fixed_y FROM quality""")
 def q_transform_quality(spark: SparkSession, d: str) -> DataFrame:
     """Residual, largest gap and fixed point of each fit."""
     return _fit(spark, d).select("session_id", "cap", _r("residual", 4).alias("residual"), _r("largest_gap", 4).alias("largest_gap"), _r("fixed_x", 2).alias("fixed_x"), _r("fixed_y", 2).alias("fixed_y"))
 
 
-@query()
+@query(_FITTED + """
+SELECT session_id, round(max(abs(scale - 1)), 6) AS peak, arg_min(cap, (-round(abs(scale - 1), 9), cap)) AS cap, count(*) AS captures FROM quality GROUP BY session_id""")
+def q_transform_peak(spark: SparkSession, d: str) -> DataFrame:
+    """The strongest scaling of every session and the first capture that has it."""
+    off = F.abs(F.col("scale") - 1)
+    best = _fit(spark, d).groupBy("session_id").agg(F.max(off).alias("peak"), F.max_by("cap", F.struct(F.round(off, 9), -F.col("cap"))).alias("cap"), F.count(F.lit(1)).alias("captures"))
+    return best.select("session_id", _r("peak").alias("peak"), "cap", "captures")
+
+
+@query(_FITTED + """
+, grid AS (SELECT * FROM (VALUES (2.0), (5.0), (10.0), (20.0), (1e9)) AS a(max_residual), (VALUES (3), (6)) AS b(min_pairs), (VALUES (0.5), (1.0)) AS c(max_gap))
+SELECT max_residual::DOUBLE AS max_residual, min_pairs, max_gap::DOUBLE AS max_gap, count(*) AS captures, round(max(abs(scale - 1)), 6) AS deviation FROM quality JOIN grid ON residual < max_residual AND pairs >= min_pairs AND largest_gap <= max_gap GROUP BY ALL""")
 def q_zoom_margins(spark: SparkSession, d: str) -> DataFrame:
     """Largest deviation from scale 1 for a grid of residual, pair and gap limits."""
     fits = _fit(spark, d)
@@ -790,6 +827,12 @@ def q_half_of_damp(spark: SparkSession, d: str) -> DataFrame:
     return reports.half_of_damp(_replayed(spark, d, replay.ARMS))
 
 
+@query()
+def q_step_rule(spark: SparkSession, d: str) -> DataFrame:
+    """Lag of every arm at a move, three and five captures later, against the damped arm."""
+    return reports.step_rule(_replayed(spark, d, replay.ARMS))
+
+
 @query()
 def q_capture_series(spark: SparkSession, d: str) -> DataFrame:
     """Lag, step events and identity share of every capture."""
@@ -821,6 +864,32 @@ def q_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return paragraphs.paragraphs(_obs(spark, d))
 
 
+def _lined(spark: SparkSession, d: str) -> DataFrame:
+    """Every capture read as one block that comes with its lines."""
+    line = F.struct("seq", "id", "text", *"ltrb")
+    rows = _obs(spark, d).groupBy("session_id", "cap").agg(F.array_sort(F.collect_list(line)).alias("lines"), F.min("id").alias("id"), F.min("l").alias("l"), F.min("t").alias("t"), F.max("r").alias("r"), F.max("b").alias("b"))
+    return rows.withColumn("text", F.array_join("lines.text", " "))
+
+
+@query(BASE + """
+, x AS (SELECT *, right(text, 1) IN ('。', '！', '？', '…') AS ends, row_number() OVER w AS place, count(*) OVER (PARTITION BY session_id, cap) AS n FROM obs WINDOW w AS (PARTITION BY session_id, cap ORDER BY seq, id)),
+y AS (SELECT *, coalesce(count(*) FILTER (ends) OVER (PARTITION BY session_id, cap ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run, bool_or(ends AND place < n) OVER (PARTITION BY session_id, cap) AS cut FROM x)
+SELECT session_id, cap, count(*)::INT AS lines, string_agg(text, ' ' ORDER BY place) AS text, round(min(l), 4) AS l, round(min(t), 4) AS t, round(max(r), 4) AS r, round(max(b), 4) AS b FROM y WHERE cut GROUP BY session_id, cap, run""")
+def q_sentence_units(spark: SparkSession, d: str) -> DataFrame:
+    """M6, U5, ST13: blocks with lines, cut after each line that ends a sentence."""
+    rows = _lined(spark, d)
+    cut = rows.where(F.exists(F.slice("lines", 1, F.size("lines") - 1), lambda x: T.ends_sentence(x["text"])))
+    units = paragraphs.line_units(cut)
+    return units.select("session_id", "cap", "lines", "text", *[_r(e, 4).alias(e) for e in "ltrb"])
+
+
+@query(BASE + "SELECT session_id, cap, id, (row_number() OVER (PARTITION BY session_id, cap ORDER BY id) - 1)::INT AS piece, text FROM obs")
+def q_by_lines(spark: SparkSession, d: str) -> DataFrame:
+    """ST14: every block a unit of its own."""
+    rows = _obs(spark, d).withColumn("lines", F.array().cast("array<struct<text:string,l:double,t:double,r:double,b:double>>"))
+    return paragraphs.line_units(rows, None).select("session_id", "cap", "id", "piece", "text")
+
+
 @query()
 def q_paragraph_decisions(spark: SparkSession, d: str) -> DataFrame:
     """Every boundary decision of the grouping with all reasons."""
@@ -849,25 +918,32 @@ def _geometry(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("""
+@query(f"""
 WITH v AS (SELECT session_id, coalesce(vp[1], 800) AS w, coalesce(vp[2], 900) AS vh FROM sessions),
 g AS (SELECT DISTINCT c.session_id, c.cap, w, vh FROM captures c JOIN v USING (session_id)),
-x AS (SELECT o.session_id, o.cap, o.block_id AS id, rect[1] * 0.5 AS l, rect[2] * 0.5 AS t, rect[3] * 0.5 AS r, rect[4] * 0.5 AS b, tconf, w, vh FROM obs_blocks o JOIN g USING (session_id, cap) WHERE otext IS NOT NULL AND tconf IS NOT NULL),
+x AS (SELECT o.session_id, o.cap, o.block_id AS id, otext, rect[1] * 0.5 AS l, rect[2] * 0.5 AS t, rect[3] * 0.5 AS r, rect[4] * 0.5 AS b, tconf, w, vh FROM obs_blocks o JOIN g USING (session_id, cap) WHERE otext IS NOT NULL),
 c AS (SELECT *, l + (r - l) / 2 AS cx, t + (b - t) / 2 AS cy, b - t AS h, (r - l) * (b - t) AS area, greatest(least(r, w) - greatest(l, 0), 0) * greatest(least(b, 60) - greatest(t, 0), 0) AS top_area, greatest(least(r, 120) - greatest(l, 0), 0) * greatest(least(b, 1200) - greatest(t, 900), 0) AS rail FROM x),
 q AS (SELECT session_id, cap, list_sort(list(h)) AS hs, count(*) AS n FROM c GROUP BY ALL),
 f AS (SELECT session_id, cap, n, list_aggregate(hs[1:n // 2], 'median') AS q1, list_aggregate(hs[n - n // 2 + 1:n], 'median') AS q3, hs[1] AS low, hs[n] AS high FROM q),
 k AS (SELECT session_id, cap, CASE WHEN n >= 4 AND CASE WHEN q3 - q1 = 0 THEN (high - low) / 4 ELSE q3 - q1 END > 0 THEN q3 + (CASE WHEN n < 15 THEN 2.2 ELSE 1.5 END) * CASE WHEN q3 - q1 = 0 THEN (high - low) / 4 ELSE q3 - q1 END END AS fence FROM f),
 s AS (SELECT c.*, fence, cx >= 0 AND cx <= w AND cy >= 0 AND cy <= 60 AND top_area / area >= 0.5 AS sticky, CASE WHEN cx >= 0 AND cx <= w AND cy >= 600 AND cy <= 700 THEN 0 ELSE -1 END AS lane FROM c JOIN k USING (session_id, cap)),
 i AS (SELECT *, NOT sticky AND cy >= 360 AND cy < 560 AS inner_ FROM s),
-z AS (SELECT *, CASE WHEN sticky THEN 0 WHEN lane >= 0 THEN 80 ELSE 0 END AS dx, CASE WHEN sticky THEN 0 WHEN inner_ THEN 120 ELSE 40 END AS dy FROM i)
+z AS (SELECT *, CASE WHEN sticky THEN 0 WHEN lane >= 0 THEN 80 ELSE 0 END AS dx, CASE WHEN sticky THEN 0 WHEN inner_ THEN 120 ELSE 40 END AS dy, avg(h) OVER (PARTITION BY session_id, cap) AS tall FROM i),
+last AS (SELECT session_id, text, rect[1] * 0.5 AS x, rect[2] * 0.5 + 40 AS y FROM tracks),
+away AS (SELECT z.id, min(sqrt((l + dx - x) ** 2 + (t + dy - y) ** 2)) AS delta FROM z JOIN last ON z.session_id = last.session_id AND z.otext = last.text GROUP BY z.id),
+lim AS (SELECT z.*, delta, least(greatest(0.15 * tall, 5), 20) AS lo, least(greatest(tall, 30), 120) AS hi, length(otext) AS n, length(regexp_replace(otext, '[^{CJK}]', '', 'g'))::DOUBLE / greatest(length(otext), 1) AS cjk,
+  list_max(list_transform(list_distinct(list_transform(range(1, length(otext) + 1), lambda i: substr(otext, i, 1))), lambda c: length(otext) - length(replace(otext, c, ''))))::DOUBLE / greatest(length(otext), 1) AS dom FROM z LEFT JOIN away USING (id))
 SELECT session_id, cap, id, CASE WHEN NOT sticky AND rail / area >= 0.5 THEN 'excluded' WHEN NOT sticky AND lane >= 0 AND cap % 2 = 0 THEN 'deferred' WHEN h > greatest(coalesce(fence, 0.6 * vh), 0.3 * vh) THEN 'too_tall' ELSE 'classified' END AS fate,
   CASE WHEN sticky THEN 'viewport' WHEN inner_ THEN 'inner' ELSE 'page' END AS kind, CASE WHEN sticky THEN -1 ELSE lane END AS hz, sticky AS from_sticky, CASE WHEN inner_ THEN 'list' END AS cid,
-  round(l + dx, 6) AS l, round(t + dy, 6) AS t, round(r + dx, 6) AS r, round(b + dy, 6) AS b, round(0.5 * (1 - 450 / 1800.0::DOUBLE * 0.7) + 0.25, 6) AS pconf, round(tconf, 6) AS tconf FROM z""")
+  round(l + dx, 6) AS l, round(t + dy, 6) AS t, round(r + dx, 6) AS r, round(b + dy, 6) AS b, round(0.5 * (1 - 450 / 1800.0::DOUBLE * 0.7) + 0.5 * (CASE WHEN delta IS NULL THEN 0.5 WHEN delta <= lo THEN 1.0 WHEN delta >= hi THEN 0.3 ELSE 1.0 - (delta - lo) / (hi - lo) * 0.7 END), 6) AS pconf,
+  round(coalesce(tconf, CASE WHEN n = 0 THEN 0.3 ELSE 0.5 * (0.5 + 0.4 * cjk) + 0.3 * (CASE WHEN n <= 2 THEN 0.5 WHEN dom > 0.6 THEN 0.5 + 0.5 * (1 - dom) ELSE 1 END) + 0.2 * (CASE WHEN (r - l) / nullif(h * n, 0) > 3 THEN 0.6 WHEN (r - l) / nullif(h * n, 0) > 2 THEN 0.8 ELSE 1 END) END), 6) AS tconf FROM lim""")
 def q_classify(spark: SparkSession, d: str) -> DataFrame:
-    """Observations as groups of a capture at twice the page's scale."""
+    """Observations as groups of a capture at twice the page's
+    scale, with the tracks as the last known positions; a missing confidence is estimated."""
     e = [F.get("rect", F.lit(i)).alias(n) for i, n in enumerate("ltrb")]
-    groups = table(spark, d, "obs_blocks").where("otext is not null and tconf is not null").select("session_id", "cap", F.col("block_id").alias("id"), *e, F.col("otext").alias("text"), F.col("tconf").alias("conf"))
-    return classify.classify(groups, _geometry(spark, d))
+    groups = table(spark, d, "obs_blocks").where("otext is not null").select("session_id", "cap", F.col("block_id").alias("id"), *e, F.col("otext").alias("text"), F.col("tconf").alias("conf"))
+    known = table(spark, d, "tracks").select("session_id", "text", (F.get("rect", F.lit(0)) * 0.5).alias("x"), (F.get("rect", F.lit(1)) * 0.5 + 40).alias("y"))
+    return classify.classify(groups, _geometry(spark, d), positions=known)
 
 
 @query("""

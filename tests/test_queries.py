@@ -16,7 +16,7 @@ def test_equals_sql(spark, data, name):
     assert got, "a comparison of nothing proves nothing"
 
 
-@pytest.mark.parametrize("name", ["q_containment", "q_track_session", "q_track_census", "q_paragraphs", "q_paragraph_decisions", "q_pregroup", "q_transform_quality"])
+@pytest.mark.parametrize("name", ["q_containment", "q_track_session", "q_track_census", "q_paragraphs", "q_paragraph_decisions", "q_pregroup", "q_step_rule"])
 def test_runs(spark, data, name):
     assert tracker.QUERIES[name](spark, data).count() > 0
 
@@ -27,7 +27,7 @@ def test_best_window_reads_the_whole_fragment(spark, tmp_path):
     fresh = [held[0][5:50], held[1][:20] + "zzzzzzzzzz" + held[1][30:], held[2][:12] + "z" * 20, held[3] + "a", held[4][2:9], held[5]]
     rows = [(i, h, f) for i, (h, f) in enumerate(zip(held, fresh))] + [(90, None, "abcd"), (91, "abcd", None), (92, "a b-c d!", "A, bcd")]
     spark.createDataFrame(rows, "freeze_id long, heldtext string, freshtext string").write.parquet(str(tmp_path / "freezes.parquet"))
-    got = {r.id: r.score for r in tracker.QUERIES["q_best_window_whole"](spark, str(tmp_path)).collect()}
+    got = {r.id: r.score for r in tracker.QUERIES["q_best_window"](spark, str(tmp_path)).collect()}
 
     def distance(a, b):
         row = list(range(len(b) + 1))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from glyphtrail.operators import blocks as B
 from glyphtrail.operators import match
-from glyphtrail.plans import paragraphs, replay
+from glyphtrail.plans import paragraphs, replay, tracker
 from glyphtrail.plans.paragraphs import Knobs, Line
 from glyphtrail.plans.tracker import Block, Config, Session, fit
 from glyphtrail.streaming import tracker as stream
@@ -238,3 +238,72 @@ def test_hooks():
     checked = Session()
     checked.step([block(1, 0, "steady text")])
     assert checked.step([block(2, 1, "steady text")], check=lambda b, t: True)["invalidated"] == ["steady text"]
+
+
+def test_hooks_spaces_logger_and_clock():
+    class OneSpace(tracker.Spaces):
+        size = 1000.0
+
+        def key(self, b):
+            return f"all:{int(b.rect[1] // self.size)}"
+
+        def drifts(self, b):
+            return b.id != 3
+
+    said = []
+    s = tracker.Session(spaces=OneSpace(), logger=said.append, clock=lambda: "noon")
+    rows = lambda dy: [tracker.Block(i, (0.0, 100.0 * i + dy, 200.0, 100.0 * i + 20 + dy), f"line number {i} here", 0.9, 0.9) for i in range(6)]
+    for k in range(4):
+        s.step(rows(float(k)))
+    assert set(s.drift.rings) == {"all:0"} and s.drift.total == 15
+    assert said[0].startswith("step at noon: 0 merged, 6 admitted") and len(said) == 4
+    s.drift.clear_region(0, 900)
+    assert not s.drift.rings
+    broken = tracker.Session(logger=lambda m: 1 / 0)
+    broken.step(rows(0.0))
+    assert broken.logger is None and len(broken.tracks) == 6
+
+
+def test_grid_is_cleared_and_rebuilt():
+    a, b = (tracker.Block(i, (0.0, 300.0 * i, 50.0, 300.0 * i + 20), "x", 0.5, 0.5) for i in range(2))
+    grid = tracker.Grid(tracker.Config(), [a, b])
+    grid.remove(a)
+    assert grid.all == [b] and a not in grid.near(a)
+    grid.rebuild([a], 80.0, 80.0)
+    assert grid.all == [a] and grid.near(a) == [a] and grid.w == 80.0
+    grid.clear()
+    assert grid.all == [] and grid.near(a) == []
+
+
+def test_lever_arguments():
+    assert replay.parse_levers([]).adopt is False and replay.parse_levers(["--floor=390", "--adopt", "other"]) == tracker.Config(floor_px=390.0, adopt=True)
+    assert replay.parse_levers(["--reanchor=2", "--reanchor=3"]).reanchor_blocks == 3
+    for bad in ("--floor=0", "--floor", "--floor=nan", "--floor=inf", "--reanchor=x", "--reanchor=0", "--adopt=1"):
+        with pytest.raises(ValueError):
+            replay.parse_levers([bad])
+    assert replay.bucket_policy("fixed") is None and replay.bucket_policy("median") is replay.median_cells and replay.bucket_policy("viewport:1000x1000")(None) == (180.0, 150.0)
+    with pytest.raises(ValueError):
+        replay.bucket_policy("viewport:-1x2")
+
+
+def test_window_of_many_incoherent_movers_is_the_first_largest():
+    import random
+    import time
+
+    rng = random.Random(4)
+    make = lambda i, dy: (tracker.Block(i, (0.0, 1000.0 + dy, 100.0, 1020.0 + dy), "t", 0.9, 0.9), tracker.Block(-i - 1, (0.0, 1000.0, 100.0, 1020.0), "t", 0.9, 0.9))
+    pairs = [make(i, rng.choice((-1, 1)) * rng.uniform(100, 900_000)) for i in range(1500)] + [make(9000 + i, 400.0 + i) for i in range(8)]
+    began = time.perf_counter()
+    assert tracker.Session(tracker.Config(min_share=0.0)).plan(pairs)["ty"] == 403.5
+    assert time.perf_counter() - began < 20
+
+
+def test_largest_firing_floor(spark):
+    rows = []
+    for cap in range(8):
+        for i in range(3):
+            y = 400.0 * i + (900.0 if cap >= 4 and i == 0 else 0.0)
+            rows.append(("s", cap, i, 100 * cap + i, "page", -1, None, 0.0, 0.0, y, 200.0, y + 20, f"quite long line {i}", 0.9, 0.9, 0, 1, False))
+    names = "session_id string, cap int, seq int, id long, kind string, hz int, cid string, inner_top double, l double, t double, r double, b double, text string, pconf double, tconf double, srcq int, obs int, provisional boolean"
+    found = replay.largest_firing_floor(spark.createDataFrame(rows, names), 100, 1000)
+    assert found is None or 100 <= found <= 1000
