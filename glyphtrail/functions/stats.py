@@ -102,6 +102,39 @@ def ranked(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return placed.join(offsets, same).withColumn("rank", F.col("_place") - F.col("_first") + F.col("_before")).drop("_place", "_task", "_t", "_first", "_before", *[f"_k_{k}" for k in keys])
 
 
+def stretches(df: DataFrame, keys: list[str], order: list[str], size: int, halo: int) -> DataFrame:
+    """Rows in stretches of ``size`` consecutive rows of their group, for windows of bounded reach.
+
+    Adds ``_stretch``, ``_rank`` (place in the group by ``order``) and ``_echo``: each
+    stretch also has the last ``halo`` rows before it, as echoes. A window over
+    (keys, _stretch) ordered by _rank then sees what one over the whole group would, for
+    frames of up to ``halo`` rows back, and a group of any size spreads over all tasks.
+    """
+    placed = ranked(df.withColumn("_by", F.struct(*order)), keys, "_by").drop("_by", "n").withColumnRenamed("rank", "_rank")
+    own = F.floor(F.col("_rank") / size)
+    near = F.when(F.col("_rank") % size >= size - halo, F.array(F.struct(own.alias("s"), F.lit(False).alias("e")), F.struct((own + 1).alias("s"), F.lit(True).alias("e")))).otherwise(F.array(F.struct(own.alias("s"), F.lit(False).alias("e"))))
+    return placed.withColumn("_at", F.explode(near)).withColumn("_stretch", F.col("_at.s")).withColumn("_echo", F.col("_at.e")).drop("_at")
+
+
+def carried(df: DataFrame, keys: list[str], order: list[str], value: str, size: int = 4096) -> DataFrame:
+    """``value`` of every row, or the last one before it in its group that is not null.
+
+    Filled inside stretches first; what a stretch starts with comes from a window over
+    one row for each stretch.
+    """
+    placed = stretches(df, keys, order, size, 0).drop("_echo")
+    inner = Window.partitionBy(*keys, "_stretch").orderBy("_rank").rowsBetween(Window.unboundedPreceding, 0)
+    filled = placed.withColumn("_filled", F.last(value, ignorenulls=True).over(inner))
+    ends = placed.groupBy(*keys, "_stretch").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col("_rank"))).alias("_end"))
+    before = Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    start = ends.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_stretch").alias("_s"), F.last("_end", ignorenulls=True).over(before).alias("_start"))
+    same = F.col("_stretch") == F.col("_s")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    out = filled.join(start, same, "left").withColumn(value, F.coalesce("_filled", "_start"))
+    return out.select(*df.columns)
+
+
 def _pick(value: str, spot: Column) -> Column:
     return F.max(F.when(F.col("rank") == spot, F.col(value)))
 

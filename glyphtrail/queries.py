@@ -322,8 +322,8 @@ def q_bucket_sizes(spark: SparkSession, d: str) -> DataFrame:
 SELECT session_id, cap, capture_id, last_value(eng IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY cap, capture_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS eng FROM captures""")
 def q_carry_forward(spark: SparkSession, d: str) -> DataFrame:
     """O3: the latest setting that was given applies until the next."""
-    w = Window.partitionBy("session_id").orderBy("cap", "capture_id").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, d, "captures").select("session_id", "cap", "capture_id", F.last("eng", ignorenulls=True).over(w).alias("eng"))
+    rows = table(spark, d, "captures").select("session_id", "cap", "capture_id", "eng")
+    return S.carried(rows, ["session_id"], ["cap", "capture_id"], "eng")
 
 
 # --- spatial ----------------------------------------------------------------------

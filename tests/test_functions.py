@@ -95,3 +95,27 @@ def test_confidence_and_keys(spark):
 @pytest.mark.parametrize("x,y", [(-0.5, -1), (0.5, 1), (2.5, 3), (2.4, 2)])
 def test_rounding_is_half_away(spark, x, y):
     assert scalar.half_up(x) == y == one(spark, F.round(F.lit(x)))[0]
+
+
+def test_stretches_see_what_whole_groups_do(spark):
+    import random
+
+    from glyphtrail.functions import stats
+    from glyphtrail.operators import drift
+
+    rng = random.Random(8)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), rng.randrange(40), i, rng.choice([None, f"v{i}"]), rng.uniform(-30, 30), rng.uniform(-30, 30)) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, cap int, id long, v string, dx double, dy double")
+    want, last = {}, {}
+    for k, _, i, v, _, _ in sorted(rows, key=lambda r: (r[0] or "", r[1], r[2])):
+        last[k] = v or last.get(k)
+        want[i] = last[k]
+    assert {r.id: r.v for r in stats.carried(df, ["k"], ["cap", "id"], "v", size=7).collect()} == want
+    few = df.withColumn("h", F.lit(24.0))
+    whole = {r.id: (r.samples, r.drift_x, r.margin) for r in drift.running(few, ["k"], ["cap", "id"], "dx", "dy", "h").collect()}
+    drift.STRETCH, kept = 25, drift.STRETCH
+    try:
+        assert {r.id: (r.samples, r.drift_x, r.margin) for r in drift.running(few, ["k"], ["cap", "id"], "dx", "dy", "h").collect()} == whole and len(whole) == 400
+    finally:
+        drift.STRETCH = kept
+    assert stats.carried(df.limit(0), ["k"], ["cap", "id"], "v").count() == 0
