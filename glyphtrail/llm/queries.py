@@ -7,7 +7,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphtrail.context import table
+from glyphtrail.context import cut_lineage, table
 
 from . import bpe, canon, incremental, leaks, qdigest, sentences, survivor, tokengroups
 
@@ -78,6 +78,14 @@ def p5_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return qdigest.scoped_percentiles(parts, ["field_name", "group_id"])
 
 
+def p5_rollup(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles per day and overall, merged from written digests of each session and day."""
+    digests = cut_lineage(qdigest.build(_measures(spark, d), ["field_name", "session_id", "day"], "value"))
+    days = qdigest.percentiles(qdigest.roll_up(digests, ["field_name", "day"]), ["field_name", "day"])
+    every = qdigest.percentiles(qdigest.roll_up(digests, ["field_name"]), ["field_name"])
+    return days.withColumn("scope", F.lit("day")).unionByName(every.withColumn("scope", F.lit("overall")).withColumn("day", F.lit("all")))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return incremental.repeated_rows(table(spark, d, "incoming_blocks"), table(spark, d, "obs_blocks"), key=["session_id", "cap"], new_id="new_id", history_id="block_id", text="otext", rect="rect", batch="batch_no")
 
@@ -110,7 +118,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentence_spans(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_forms, p3_found, p3_records, p3_texts, p3_model, p5_percentiles, p6_found, p7_found, p7_groups, p8_ids, p9_found, p9_near, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_forms, p3_found, p3_records, p3_texts, p3_model, p5_percentiles, p5_rollup, p6_found, p7_found, p7_groups, p8_ids, p9_found, p9_near, p10_found)}
 
 _DELIVERED = """
 WITH slots AS (
