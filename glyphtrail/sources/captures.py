@@ -6,9 +6,11 @@ shapes and events are counted rather than dropped silently.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glyphtrail.functions.stats import carried
+
 #: Fields read from a line; absent ones are null. ``sf`` is mixed and stays text.
 RECORD = (
     "t string, ts bigint, cap int, raw int, v int, note string, vp array<double>, bk array<double>, dx double, dy double, obsN int, pconf double, tconf double, "
@@ -40,8 +42,7 @@ def viewport_text(s: Column) -> Column:
 
 def with_buckets(rows: DataFrame, stream: list[str], order: list[str]) -> DataFrame:
     """The latest valid bucket pair of each stream applies to all later records (O3)."""
-    w = Window.partitionBy(*stream).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("bk", F.last(pair(F.col("record.bk")), ignorenulls=True).over(w))
+    return carried(rows.withColumn("bk", pair(F.col("record.bk"))), stream, order, "bk")
 
 
 def blocks(rows: DataFrame, keys: list[str]) -> DataFrame:
