@@ -85,17 +85,16 @@ def fit_transform(pairs: DataFrame, scope: list[str], minimum: int = 3) -> DataF
     Two passes of sums: the first fit's residuals are trimmed once at three medians if
     enough pairs remain. Scopes without a sound fit give no row.
     """
-    # Every step is written once: the steps read each other several times, and one plan
-    # over all of them would hold a dozen sorts in one task.
+    # Written twice only: the pairs, which may come from a match, and the pairs used.
     pairs = cut_lineage(pairs)
-    first = cut_lineage(_least_squares(pairs, scope, minimum))
-    off = cut_lineage(pairs.join(first.select(*scope, "scale", "tx", "ty"), scope).select(*scope, "x0", "y0", "x1", "y1", _residual().alias("off")))
+    first = _least_squares(pairs, scope, minimum)
+    off = pairs.join(first.select(*scope, "scale", "tx", "ty"), scope).select(*scope, "x0", "y0", "x1", "y1", _residual().alias("off"))
     limit = order_statistics(off, scope, "off").select(*scope, "median")
-    marked = cut_lineage(off.join(limit, scope).withColumn("cut", F.col("off") > 3 * F.col("median")).drop("median"))
+    marked = off.join(limit, scope).withColumn("cut", F.col("off") > 3 * F.col("median")).drop("median")
     counts = marked.groupBy(*scope).agg(F.count(F.when(F.col("cut"), 1)).alias("far"), F.count(F.lit(1)).alias("total"))
     trim = F.when((F.col("far") > 0) & (F.col("total") - F.col("far") >= minimum), F.col("far")).otherwise(0)
     used = cut_lineage(marked.join(counts.select(*scope, trim.alias("rejected")), scope).where((F.col("rejected") == 0) | ~F.col("cut")))
-    fit = cut_lineage(_least_squares(used, scope, minimum).join(used.groupBy(*scope).agg(F.first("rejected").alias("rejected")), scope))
+    fit = _least_squares(used, scope, minimum, F.first("rejected").alias("rejected"))
     error = used.join(fit.select(*scope, "scale", "tx", "ty"), scope).groupBy(*scope).agg(F.sqrt(F.avg(F.pow(_residual(), 2))).alias("residual"))
     return fit.join(error, scope).join(largest_gap_share(used, scope), scope).select(*scope, "pairs", "rejected", "scale", "tx", "ty", "residual", "span", "largest_gap", *fixed_point())
 
@@ -109,15 +108,15 @@ def _residual() -> Column:
     return distance(F.col("scale") * F.col("x0") + F.col("tx") - F.col("x1"), F.col("scale") * F.col("y0") + F.col("ty") - F.col("y1"))
 
 
-def _least_squares(pairs: DataFrame, scope: list[str], minimum: int) -> DataFrame:
-    """Centred sums first, so that large coordinates lose no digits."""
-    mean = pairs.groupBy(*scope).agg(F.count(F.lit(1)).alias("pairs"), *[F.avg(c).alias("m" + c) for c in ("x0", "y0", "x1", "y1")])
-    off = pairs.join(mean.where(F.col("pairs") >= minimum), scope)
-    d = {c: F.col(c) - F.col("m" + c) for c in ("x0", "y0", "x1", "y1")}
-    sums = off.groupBy(*scope).agg(F.first("pairs").alias("pairs"), *[F.first("m" + c).alias("m" + c) for c in d], F.sum(d["x0"] * d["x0"] + d["y0"] * d["y0"]).alias("sxx"), F.sum(d["x0"] * d["x1"] + d["y0"] * d["y1"]).alias("sxy"))
-    scale = F.try_divide(F.col("sxy"), F.col("sxx"))
-    fit = sums.where("sxx > 0").withColumn("scale", scale).where((F.col("scale") > 0) & ~F.isnan("scale"))
-    return fit.select(*scope, "pairs", "scale", (F.col("mx1") - F.col("scale") * F.col("mx0")).alias("tx"), (F.col("my1") - F.col("scale") * F.col("my0")).alias("ty"), F.sqrt(F.col("sxx") / F.col("pairs")).alias("span"))
+def _least_squares(pairs: DataFrame, scope: list[str], minimum: int, *more: Column) -> DataFrame:
+    """One aggregation: variances are merged from centred parts, so large coordinates lose no digits."""
+    n = F.count(F.lit(1))
+    sums = pairs.groupBy(*scope).agg(
+        n.alias("pairs"), *[F.avg(c).alias("m" + c) for c in ("x0", "y0", "x1", "y1")], (F.var_pop("x0") + F.var_pop("y0")).alias("vxx"), (F.covar_pop("x0", "x1") + F.covar_pop("y0", "y1")).alias("vxy"), *more
+    )
+    kept = [c for c in sums.columns if c not in (*scope, "pairs", "mx0", "my0", "mx1", "my1", "vxx", "vxy")]
+    fit = sums.where((F.col("pairs") >= minimum) & (F.col("vxx") > 0)).withColumn("scale", F.try_divide(F.col("vxy"), F.col("vxx"))).where((F.col("scale") > 0) & ~F.isnan("scale"))
+    return fit.select(*scope, "pairs", *kept, "scale", (F.col("mx1") - F.col("scale") * F.col("mx0")).alias("tx"), (F.col("my1") - F.col("scale") * F.col("my0")).alias("ty"), F.sqrt("vxx").alias("span"))
 
 
 def largest_gap_share(pairs: DataFrame, scope: list[str]) -> DataFrame:

@@ -103,7 +103,11 @@ def band_funnel(fresh: DataFrame, tracked: DataFrame, scope: list[str], lev_floo
     slim = lambda x: x.select(*scope, *_SLIM, "chars", "obs")
     pairs = spatial.candidates(slim(fresh), slim(tracked), scope, extra=same_view() & ((F.col("f_sig") != F.col("c_sig")) | (F.length("f_sig") == 0)))
     gap = F.call_function("levenshtein", F.col("f_sig"), F.col("c_sig"), _allowed(min(lev_floor, T.LEVENSHTEIN_MATCH)))
-    scored = pairs.withColumn("s", F.explode(F.array(F.struct(gap.alias("gap"), T.jaccard(F.col("f_chars"), F.col("c_chars")).alias("jac")))))
+    m, n = F.size("f_chars"), F.size("c_chars")
+    common = F.size(F.array_intersect("f_chars", "c_chars"))
+    # Letters are only compared where their numbers leave open that they are alike.
+    jac = F.when(F.least(m, n) < min(jac_floor, T.JACCARD_MATCH) * F.greatest(m, n), 0.0).otherwise(F.when(m + n == 0, 1.0).otherwise(common / F.greatest(m + n - common, F.lit(1))))
+    scored = pairs.withColumn("s", F.explode(F.array(F.struct(gap.alias("gap"), jac.alias("jac")))))
     gap, longer = F.col("s.gap"), F.greatest(F.length("f_sig"), F.length("c_sig"))
     lev = F.when(longer == 0, 1.0).when((F.length("f_sig") == 0) | (F.length("c_sig") == 0), 0.0).when(gap >= 0, 1.0 - gap / F.greatest(longer, F.lit(1))).otherwise(0.0)
     rest = scored.where(~T.text_similar(lev, F.col("s.jac"), F.col("f_sig"), F.col("c_sig")))
