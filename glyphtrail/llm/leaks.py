@@ -253,8 +253,20 @@ def close_pairs(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
     return row[n] <= most
 
 
-#: Candidate pairs of windows that are compared at a time.
-_STEP = 100_000
+def kept_symbols(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """How many symbols of each row of ``a`` the same row of ``b`` has within ``most`` places.
+
+    At least as many as the windows can have in common, since no edits shift one further.
+    """
+    same = a == b
+    for d in range(1, min(most, a.shape[1] - 1) + 1):
+        same[:, d:] |= a[:, d:] == b[:, :-d]
+        same[:, :-d] |= a[:, :-d] == b[:, d:]
+    return same.sum(axis=1)
+
+
+#: Windows that are looked up, and pairs of windows that are compared, at a time.
+_STEP = 50_000
 
 
 class ItemIndex:
@@ -295,22 +307,31 @@ class ItemIndex:
             starts = starts[hits[starts + plan.window - plan.run + 1] > hits[starts]]
             if not len(starts):
                 continue
-            reach = np.arange(plan.window)
-            for table, keys in enumerate(embed(part, starts, plan)):
-                low = np.searchsorted(self.keys[table], keys, "left")
-                count = np.searchsorted(self.keys[table], keys, "right") - low
-                w = np.repeat(np.arange(len(keys)), count)
-                spots = np.arange(len(w)) - np.repeat(np.cumsum(count) - count, count) + low[w]
-                k = self.order[table, spots]
-                if out:
-                    fresh = ~np.isin(self.items[k], list(out))
-                    w, k = w[fresh], k[fresh]
-                for at in range(0, len(k), _STEP):
-                    i, j = k[at : at + _STEP], w[at : at + _STEP]
-                    near = close_pairs(self.codes[self.starts[i][:, None] + reach], part[starts[j][:, None] + reach], plan.max_edits)
-                    out.update(np.unique(self.items[i[near]]).tolist())
+            for low in range(0, len(starts), _STEP):
+                self._verify(part, starts[low : low + _STEP], out)
         return out
 
+    def _verify(self, part: np.ndarray, starts: np.ndarray, out: set[int]) -> None:
+        """Adds the items of the windows that meet in some table and are close enough."""
+        plan, met = self.plan, []
+        for table, keys in enumerate(embed(part, starts, plan)):
+            low = np.searchsorted(self.keys[table], keys, "left")
+            count = np.searchsorted(self.keys[table], keys, "right") - low
+            w = np.repeat(np.arange(len(keys)), count)
+            spots = np.arange(len(w)) - np.repeat(np.cumsum(count) - count, count) + low[w]
+            met.append(w * len(self.items) + self.order[table, spots])
+        pairs = np.unique(np.concatenate(met))
+        reach = np.arange(plan.window)
+        for at in range(0, len(pairs), _STEP):
+            w, k = np.divmod(pairs[at : at + _STEP], len(self.items))
+            if out:
+                fresh = ~np.isin(self.items[k], list(out))
+                w, k = w[fresh], k[fresh]
+            a, b = self.codes[self.starts[k][:, None] + reach], part[starts[w][:, None] + reach]
+            maybe = kept_symbols(a, b, plan.max_edits) >= plan.window - plan.max_edits
+            near = close_pairs(a[maybe], b[maybe], plan.max_edits)
+            out.update(np.unique(self.items[k[maybe][near]]).tolist())
+
 
 class _Coder:
     """Codes of symbols, remembered for the common ones."""
