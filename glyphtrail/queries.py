@@ -413,7 +413,8 @@ def _fragments(trk: DataFrame) -> DataFrame:
 
 
 @query(BASE + f"""
-, frag AS (SELECT session_id, id, kind, hz, l, t, l + (r - l) / 2 AS r, b, {_sig('substr(text, 1, length(text) // 2)')} AS sig FROM trk WHERE kind <> 'viewport'),
+, frag AS (SELECT session_id, -id AS id, kind, hz, l, t, l + (r - l) / 2 AS r, b, {_sig('substr(text, 1, length(text) // 2)')} AS sig FROM trk WHERE kind <> 'viewport'
+  UNION ALL SELECT session_id, id, kind, hz, l, t, r, b, sig FROM obs WHERE kind <> 'viewport'),
 pairs AS (SELECT f.session_id, f.id AS f_id, c.id AS c_id, f.sig AS f, c.sig AS w, round({_area('c')}, 6) AS area
   FROM frag f JOIN trk c ON f.session_id = c.session_id AND c.kind <> 'viewport' AND NOT c.provisional AND (f.hz < 0 OR c.hz < 0 OR f.hz = c.hz) AND {_area('f')} > 0 AND {_area('c')} > {_area('f')} AND ({_common('f', 'c')}) / {_area('f')} >= 0.8
   WHERE length(f.sig) >= 4 AND length(f.sig) <= length(c.sig)),
@@ -422,9 +423,10 @@ pieces AS (SELECT session_id, f_id, c_id, area, f, substr(w, i, length(f)) AS pi
 scored AS (SELECT session_id, f_id, c_id, area, max(1.0 - ({_dist('f', 'piece')})::DOUBLE / length(f)) AS score FROM pieces GROUP BY ALL)
 SELECT f_id, c_id, round(score, 6) AS score FROM scored WHERE score >= 0.70 QUALIFY row_number() OVER (PARTITION BY f_id ORDER BY area, c_id) = 1""")
 def q_nested_hosts(spark: SparkSession, d: str) -> DataFrame:
-    """The smallest host of each half line."""
+    """The smallest host of each observation and (negative ids) half line."""
     trk = _trk(spark, d)
-    return match.nested_hosts(_fragments(trk), trk, ["session_id"]).select("f_id", "c_id", _r("window").alias("score"))
+    halves = _fragments(trk).withColumn("id", -F.col("id"))
+    return match.nested_hosts(_obs(spark, d).unionByName(halves), trk, ["session_id"]).select("f_id", "c_id", _r("window").alias("score"))
 
 
 @query(BASE + """
@@ -795,12 +797,14 @@ def q_uncorrected(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(BASE + """
-SELECT session_id, cap, count(*) AS blocks, count(*) <= 1 AS alone, count(DISTINCT text) AS texts FROM obs GROUP BY session_id, cap""")
+, g AS (SELECT session_id, cap, count(*) AS blocks, count(*) <= 1 AS alone, count(DISTINCT text) AS texts, CASE WHEN count(*) > 1 THEN list_sort(list(text)) END AS sorted FROM obs GROUP BY session_id, cap)
+SELECT session_id, cap, blocks, alone, texts, min(cap) OVER (PARTITION BY session_id, sorted) AS first_like FROM g""")
 def q_signatures(spark: SparkSession, d: str) -> DataFrame:
-    """Captures whose signature is 0, that is those of at most one block."""
+    """Captures whose signature is 0, and the first capture with an equal signature."""
     texts = _obs(spark, d).groupBy("session_id", "cap").agg(F.collect_list("text").alias("texts"))
-    sig = C.group_signature(F.col("texts"))
-    return texts.select("session_id", "cap", F.size("texts").cast("long").alias("blocks"), (sig == 0).alias("alone"), F.size(F.array_distinct("texts")).cast("long").alias("texts"))
+    rows = texts.select("session_id", "cap", "texts", C.group_signature(F.col("texts")).alias("signature"))
+    first = rows.groupBy("session_id", "signature").agg(F.min("cap").alias("first_like"))
+    return rows.join(first, ["session_id", "signature"]).select("session_id", "cap", F.size("texts").cast("long").alias("blocks"), (F.col("signature") == 0).alias("alone"), F.size(F.array_distinct("texts")).cast("long").alias("texts"), "first_like")
 
 
 @query()
