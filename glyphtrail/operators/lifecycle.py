@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from glyphtrail.context import cut_lineage
 from glyphtrail.functions import text as T
 from glyphtrail.functions.geometry import distance
 from glyphtrail.functions.stats import order_statistics
+from glyphtrail.plans import scalar as S
 
 from . import spatial
 from .blocks import side
@@ -35,18 +40,54 @@ def grouping_contradictions(tracked: DataFrame, fresh: DataFrame, scope: list[st
 
 
 def splitting_contradictions(fresh: DataFrame, tracked: DataFrame, scope: list[str]) -> DataFrame:
-    """Fresh blocks that swallow several tracked ones (J18), evidence not yet consumed.
+    """Fresh blocks that swallow several tracked ones.
 
-    Native where evidence sets are disjoint; the session kernel consumes evidence in
-    fresh order.
+    Evidence is consumed: a tracked block speaks for the first fresh one that it makes a
+    split of, in the order of (seq, id). Only candidate pieces reach the ordered pass,
+    which holds one fresh block and the tracks used in its scope.
     """
     tall = fresh.where((F.col("kind") != "viewport") & (F.col("r") > F.col("l")) & (F.col("b") > F.col("t")))
-    pairs = spatial.region(tall.select(*scope, *_PIECE), tracked.where(F.col("obs") >= WELL_OBSERVED).select(*scope, *_PIECE), scope)
+    pairs = spatial.region(tall.select(*scope, *_PIECE, "seq"), tracked.where(F.col("obs") >= WELL_OBSERVED).select(*scope, *_PIECE), scope)
     h, p = side("h_"), side("p_")
     inside = (p.height < 0.7 * h.height) & (F.try_divide(h.common_area(p), p.area) >= 0.80)
-    pieces = pairs.where(inside).groupBy(*scope, F.col("h_id").alias("id")).agg(F.first("h_sig").alias("sig"), F.array_sort(F.collect_list(F.struct(F.col("p_t").alias("t"), F.col("p_id").alias("id"), F.col("p_sig").alias("sig")))).alias("parts"))
-    lev = T.levenshtein_ratio(F.col("sig"), F.array_join(F.col("parts.sig"), ""))
-    return pieces.where(F.size("parts") >= 2).withColumn("lev", lev).where("lev >= 0.60").select(*scope, "id", F.col("parts.id").alias("evidence"), "lev")
+    order = ["h_seq", "h_id", "p_t", "p_id"]
+    placed = pairs.where(inside).repartition(*scope).sortWithinPartitions(*scope, *order)
+    kinds = {f.name: f.dataType for f in fresh.schema.fields}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, turn, parts, used, sig = None, None, [], set(), ""
+        out: list[tuple] = []
+
+        def close() -> None:
+            free = [q for q in parts if q[0] not in used]
+            if len(free) >= 2 and (lev := S.levenshtein_ratio(sig, "".join(q[1] for q in free))) >= 0.60:
+                used.update(q[0] for q in free)
+                out.append((*at, turn, [q[0] for q in free], lev))
+
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            for i, key in enumerate(zip(*columns[: len(scope)])):
+                h_id, h_sig, p_id, p_sig = (c[i] for c in columns[len(scope) :])
+                if key != at or h_id != turn:
+                    if parts:
+                        close()
+                    used = used if key == at else set()
+                    at, turn, parts, sig = key, h_id, [], h_sig
+                parts.append((p_id, p_sig))
+            yield batch_of(out)
+            out.clear()
+        if parts:
+            close()
+        yield batch_of(out)
+
+    names = [*scope, "id", "evidence", "lev"]
+    types = [*(to_arrow_type(kinds[c]) for c in scope), pa.int64(), pa.list_(pa.int64()), pa.float64()]
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(types), types)], names=names)
+
+    schema = ", ".join([*(f"`{c}` {kinds[c].simpleString()}" for c in scope), "id long, evidence array<long>, lev double"])
+    return placed.select(*scope, "h_id", "h_sig", "p_id", "p_sig").mapInArrow(run, schema)
 
 
 def superseded(tracked: DataFrame, fresh: DataFrame, scope: list[str]) -> DataFrame:

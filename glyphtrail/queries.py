@@ -469,13 +469,19 @@ def q_grouping_contradiction(spark: SparkSession, d: str) -> DataFrame:
     return found.select("id", F.size("evidence").cast("long").alias("pieces"), _r("lev").alias("lev"))
 
 
-@query(BASE + _TALL + f"""
-, parts AS (SELECT h.id, h.sig, p.sig AS psig, p.t, p.id AS pid FROM tall h JOIN trk p ON h.session_id = p.session_id AND h.kind <> 'viewport' AND p.kind <> 'viewport' AND p.obs >= 3 AND (p.b - p.t) < 0.7 * (h.b - h.t) AND ({_common('h', 'p')}) / {_area('p')} >= 0.8),
-g AS (SELECT id, sig, string_agg(psig, '' ORDER BY t, pid) AS joined, count(*) AS n FROM parts GROUP BY id, sig HAVING count(*) >= 2),
-s AS (SELECT id, n, {_lev('sig', 'joined')} AS lev FROM g)
-SELECT id, n AS pieces, round(lev, 6) AS lev FROM s WHERE lev >= 0.60""")
+@query((BASE + _TALL).replace("WITH obs", "WITH RECURSIVE obs", 1) + f"""
+, parts AS (SELECT h.session_id, h.id, h.sig, p.sig AS psig, p.t, p.id AS pid FROM tall h JOIN trk p ON h.session_id = p.session_id AND h.kind <> 'viewport' AND p.kind <> 'viewport' AND p.obs >= 3 AND (p.b - p.t) < 0.7 * (h.b - h.t) AND ({_common('h', 'p')}) / {_area('p')} >= 0.8),
+cand AS MATERIALIZED (SELECT session_id, id, sig, list({{'pid': pid, 'psig': psig}} ORDER BY t, pid) AS ps, row_number() OVER (PARTITION BY session_id ORDER BY id) AS k FROM parts GROUP BY session_id, id, sig),
+walk(session_id, k, used, id, n, lev) AS (
+  SELECT DISTINCT session_id, 0::BIGINT, []::BIGINT[], NULL::BIGINT, 0::BIGINT, 0::DOUBLE FROM cand
+  UNION ALL
+  SELECT session_id, k, CASE WHEN n >= 2 AND lev >= 0.60 THEN list_concat(used, ids) ELSE used END, id, n, lev FROM (
+    SELECT session_id, k, used, id, ids, n, {_lev('sig', 'joined')} AS lev FROM (
+      SELECT session_id, k, used, id, sig, list_transform(free, lambda q: q.pid) AS ids, len(free) AS n, array_to_string(list_transform(free, lambda q: q.psig), '') AS joined FROM (
+        SELECT c.session_id, c.k, w.used, c.id, c.sig, list_filter(c.ps, lambda q: NOT list_contains(w.used, q.pid)) AS free FROM walk w JOIN cand c ON c.session_id = w.session_id AND c.k = w.k + 1))))
+SELECT id, n AS pieces, round(lev, 6) AS lev FROM walk WHERE n >= 2 AND lev >= 0.60""")
 def q_splitting_contradiction(spark: SparkSession, d: str) -> DataFrame:
-    """Fresh tall blocks that swallow several tracks, evidence shared freely."""
+    """Fresh tall blocks that swallow several tracks, evidence consumed in fresh order."""
     trk = _trk(spark, d)
     found = lifecycle.splitting_contradictions(_tall(trk), trk, ["session_id"])
     return found.select("id", F.size("evidence").cast("long").alias("pieces"), _r("lev").alias("lev"))
