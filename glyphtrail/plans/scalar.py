@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 import statistics
+from dataclasses import dataclass
 from functools import lru_cache
 
 from glyphtrail.functions import text as T
@@ -66,11 +67,56 @@ def levenshtein_ratio(a: str, b: str) -> float:
     return 1.0 - distance(a, b) / max(len(a), len(b))
 
 
+@dataclass(slots=True)
+class Traits:
+    """Of a significant text: its letters, and both, with and without repeats, folded into 256 bits."""
+
+    text: str
+    letters: frozenset[str]
+    bits: int
+    bag: int
+
+
+@lru_cache(maxsize=65536)
+def traits(text: str) -> Traits:
+    bits = bag = 0
+    times: dict[str, int] = {}
+    for c in text:
+        n = times[c] = times.get(c, 0) + 1
+        bits |= 1 << (ord(c) & 255)
+        bag |= 1 << (ord(c) + 37 * n & 255)
+    return Traits(text, frozenset(times), bits, bag)
+
+
+def match(a: Traits, b: Traits, lev: float, jac: float) -> float | None:
+    """The edit ratio of two significant texts if it or the Jaccard index is large enough.
+
+    A letter (or its n-th repeat) of one whose bit the other lacks is not in the other:
+    it takes an edit, and is in the union only. Most pairs are told apart by that.
+    """
+    x, y = a.text, b.text
+    if x == y:
+        return 1.0 if x else None
+    if not x or not y:
+        return None
+    n, m = len(a.letters), len(b.letters)
+    apart = (a.bits & ~b.bits).bit_count()
+    near = (n - apart) / (m + apart) >= jac
+    if near:
+        both = len(a.letters & b.letters)
+        near = both / (n + m - both) >= jac
+    if not near and 1.0 - max((a.bag & ~b.bag).bit_count(), (b.bag & ~a.bag).bit_count(), abs(len(x) - len(y))) / max(len(x), len(y)) < lev:
+        return None
+    ratio = levenshtein_ratio(x, y)
+    return ratio if near or ratio >= lev else None
+
+
 def jaccard(a: str, b: str) -> float:
     x, y = set(a), set(b)
     return len(x & y) / len(x | y) if x | y else 1.0
 
 
+@lru_cache(maxsize=65536)
 def best_window(fragment: str, whole: str, minimum: int = T.WINDOW_MINIMUM) -> float:
     n = len(fragment)
     if n < minimum or not n or n > len(whole):
@@ -110,7 +156,7 @@ def overlap_ratio(a: Rect, b: Rect, margin: float = 0.0) -> float:
 
 def half_up(x: float) -> int:
     """Rounding half away from zero."""
-    return int(math.floor(abs(x) + 0.5)) * (1 if x >= 0 else -1)
+    return int(x + 0.5) if x >= 0 else -int(0.5 - x)
 
 
 def median(values: list[float]) -> float:

@@ -13,8 +13,10 @@ from __future__ import annotations
 
 import json
 import math
+from bisect import bisect_left, insort
 from collections import deque
-from dataclasses import asdict, dataclass, field, replace
+from dataclasses import asdict, dataclass, field
+from functools import cached_property
 
 from glyphtrail.functions import text as T
 
@@ -67,7 +69,11 @@ class Config:
 
 @dataclass
 class Block:
-    """An observation and, once tracked, its state."""
+    """An observation and, once tracked, its state.
+
+    What follows from text and place is worked out once; a change of either makes a new
+    block (:meth:`twin`).
+    """
 
     id: int
     rect: S.Rect
@@ -89,28 +95,72 @@ class Block:
     lanes: dict[int, int] = field(default_factory=dict)
     votes: dict[str, list] = field(default_factory=dict)
 
-    @property
+    @cached_property
     def sig(self) -> str:
         return S.significant(self.text)
 
-    @property
+    @cached_property
+    def traits(self) -> S.Traits:
+        return S.traits(self.sig)
+
+    @cached_property
+    def alike(self) -> dict[str, float | None]:
+        """Of significant texts met so far: the ratio if they match, else None."""
+        return {}
+
+    @cached_property
+    def plain(self) -> str:
+        return S.normalize(self.text)
+
+    @cached_property
+    def center(self) -> tuple[float, float]:
+        return S.center(self.rect)
+
+    @cached_property
+    def area(self) -> float:
+        return S.area(self.rect)
+
+    @cached_property
     def view(self) -> bool:
         return self.kind == "viewport"
 
-    @property
+    @cached_property
     def weight(self) -> int:
         inner, lane = self.kind == "inner", self.hz >= 0
         return 40 if self.view else 30 if inner and lane else 20 if inner or lane else 10
 
-    @property
+    @cached_property
     def quality(self) -> float:
         return 0.4 * self.pconf + 0.6 * self.tconf
 
-    @property
+    @cached_property
     def overlap_threshold(self) -> float:
         cjk = S.cjk_fraction(self.text)
         return 0.35 if cjk >= 0.6 else 0.65 if cjk < 0.3 and len(self.text) <= 8 else 0.50
 
+    @cached_property
+    def space(self) -> str:
+        """The key of its drift in the usual :class:`Spaces`."""
+        return Spaces().key(self)
+
+    def twin(self, **changes) -> Block:  # noqa: ANN003
+        """A copy; with changes, nothing worked out from the old values is kept."""
+        out = object.__new__(Block)
+        own = self.__dict__
+        if not changes:
+            out.__dict__.update(own)
+            return out
+        new = out.__dict__
+        new.update(own)
+        new.update(changes)
+        for k in _OF_PLACE if new["text"] == own["text"] and new["kind"] == own["kind"] and new["hz"] == own["hz"] else _WORKED_OUT:
+            new.pop(k, None)
+        return out
+
+
+_OF_PLACE = ("alike", "center", "area", "quality", "space", "_own")
+_WORKED_OUT = (*_OF_PLACE, "sig", "traits", "plain", "view", "weight", "overlap_threshold")
+
 
 class Spaces:
     """Which blocks share one drift, and which are left out of it; replace to define others.
@@ -144,23 +194,32 @@ class Grid:
             self.add(b)
 
     def _own(self, b: Block) -> list[tuple]:
-        x, y = S.center(b.rect)
+        known = b.__dict__.get("_own")
+        if known is not None and known[0] == self.w and known[1] == self.h:
+            return known[2]
+        x, y = b.center
         own = [("vr" if b.view else "abs", S.half_up(x / self.w), S.half_up(y / self.h))]
-        return own + ([("ic", own[0][1], S.half_up((y - b.inner_top) / self.h))] if b.kind == "inner" else [])
+        if b.kind == "inner":
+            own.append(("ic", own[0][1], S.half_up((y - b.inner_top) / self.h)))
+        b.__dict__["_own"] = (self.w, self.h, own)
+        return own
 
     def add(self, b: Block) -> None:
         self.held[id(b)] = b
+        self.found.clear()
         for cell in self._own(b):
             self.cells.setdefault(cell, {})[id(b)] = b
 
     def remove(self, b: Block) -> None:
         self.held.pop(id(b), None)
+        self.found.clear()
         for cell in self._own(b):
             self.cells.get(cell, {}).pop(id(b), None)
 
     def clear(self) -> None:
         self.cells: dict[tuple, dict[int, Block]] = {}
         self.held: dict[int, Block] = {}
+        self.found: dict[tuple, list[Block]] = {}  # what was gathered since the last change
 
     def rebuild(self, blocks: list[Block], width: float | None = None, height: float | None = None) -> None:
         """Start again with other blocks and, if given, another cell size."""
@@ -181,13 +240,45 @@ class Grid:
         return list(found.values())
 
     def near(self, b: Block) -> list[Block]:
-        steps = (-1, 0, 1)
-        return self._gather((layer, x + i, y + j) for layer, x, y in self._own(b) for i in steps for j in steps)
+        own = self._own(b)
+        key = own[0] if len(own) == 1 else tuple(own)
+        out = self.found.get(key)
+        if out is None:
+            steps = (-1, 0, 1)
+            if len(own) == 1:  # one layer has each block once
+                (layer, x, y), out, cells = own[0], [], self.cells
+                for i in steps:
+                    for j in steps:
+                        cell = cells.get((layer, x + i, y + j))
+                        if cell:
+                            out += cell.values()
+            else:
+                out = self._gather((layer, x + i, y + j) for layer, x, y in own for i in steps for j in steps)
+            self.found[key] = out
+        return out
 
     def region(self, r: S.Rect) -> list[Block]:
-        xs = range(math.floor(r[0] / self.w) - 1, math.ceil(r[2] / self.w) + 2)
-        ys = range(math.floor(r[1] / self.h) - 1, math.ceil(r[3] / self.h) + 2)
-        return self._gather(("abs", x, y) for x in xs for y in ys)
+        x0, x1 = math.floor(r[0] / self.w) - 1, math.ceil(r[2] / self.w) + 2
+        y0, y1 = math.floor(r[1] / self.h) - 1, math.ceil(r[3] / self.h) + 2
+        key = (x0, x1, y0, y1)
+        out = self.found.get(key)
+        if out is None:
+            out, cells = [], self.cells
+            if len(cells) <= (x1 - x0) * (y1 - y0):  # sorted cells are in the order of columns and rows
+                order = self.found.get("order")
+                if order is None:
+                    order = self.found["order"] = sorted((c for c in cells if c[0] == "abs"))
+                for cell in order:
+                    if x0 <= cell[1] < x1 and y0 <= cell[2] < y1:
+                        out += cells[cell].values()
+            else:
+                for x in range(x0, x1):
+                    for y in range(y0, y1):
+                        cell = cells.get(("abs", x, y))
+                        if cell:
+                            out += cell.values()
+            self.found[key] = out
+        return out
 
 
 class Drift:
@@ -199,26 +290,65 @@ class Drift:
         self.propagated: dict[str, tuple[float, float]] = {}
         self.emitted: dict[str, int] = {}
         self.total = 0
+        self.usual = type(self.spaces) is Spaces and self.spaces.size == Spaces.size == 500.0
+        self.sorted: dict[str, tuple] = {}  # both follow from the rings
+        self.middle: dict[str, tuple] = {}
 
     def add(self, b: Block, dx: float, dy: float) -> None:
         if self.spaces.drifts(b) and math.isfinite(dx) and math.isfinite(dy):
-            self.rings.setdefault(self.spaces.key(b), deque(maxlen=RING)).append((dx, dy, S.height_of(b.rect)))
+            key = self.key(b)
+            ring, new = self.rings.get(key), (dx, dy, S.height_of(b.rect))
+            if ring is None:
+                ring = self.rings[key] = deque(maxlen=RING)
+            held = self._ordered(key, ring)
+            if len(ring) == RING:
+                for values, old in zip(held, ring[0]):
+                    del values[bisect_left(values, old)]
+            for values, x in zip(held, new):
+                insort(values, x)
+            ring.append(new)
+            self.sorted[key] = (ring, held)
+            self.middle.pop(key, None)
             self.total += 1
 
+    def key(self, b: Block) -> str:
+        return b.space if self.usual else self.spaces.key(b)
+
+    def _ordered(self, key: str, ring: deque) -> tuple[list[float], ...]:
+        """Displacements and heights of a ring, each in order."""
+        known = self.sorted.get(key)
+        if known is None or known[0] is not ring or len(known[1][0]) != len(ring):
+            self.middle.pop(key, None)
+            known = self.sorted[key] = (ring, tuple(sorted(x[i] for x in ring) for i in range(3)))
+        return known[1]
+
+    def _middle(self, key: str) -> tuple[tuple[float, float], float]:
+        """Median displacement, and median height, of a region."""
+        known = self.middle.get(key)
+        if known is None:
+            ring = self.rings.get(key)
+            if not ring:
+                return (0.0, 0.0), 16.0
+            held, n = self._ordered(key, ring), len(ring)
+            xs, ys, hs = ((v[n // 2] if n % 2 else (v[n // 2 - 1] + v[n // 2]) / 2) for v in held)
+            known = self.middle[key] = ((0.0, 0.0) if n < MIN_DRIFTS else (min(max(xs, -hs), hs), min(max(ys, -hs), hs)), hs)
+        return known
+
     def height(self, key: str) -> float:
-        ring = self.rings.get(key)
-        return S.median([x[2] for x in ring]) if ring else 16.0
+        return self._middle(key)[1]
 
     def median(self, key: str) -> tuple[float, float]:
-        ring = self.rings.get(key, ())
-        if len(ring) < MIN_DRIFTS:
-            return 0.0, 0.0
-        limit = self.height(key)
-        return tuple(min(max(S.median([x[i] for x in ring]), -limit), limit) for i in (0, 1))
+        return self._middle(key)[0]
 
     def margin(self, key: str) -> float:
-        dx, dy = self.median(key)
-        return min(max(abs(dx) + abs(dy), 0.0), self.height(key))
+        (dx, dy), tall = self._middle(key)
+        return min(max(abs(dx) + abs(dy), 0.0), tall)
+
+    def copy(self) -> Drift:
+        out = Drift(self.spaces)
+        out.rings = {k: deque(v, maxlen=RING) for k, v in self.rings.items()}
+        out.propagated, out.emitted, out.total = dict(self.propagated), dict(self.emitted), self.total
+        return out
 
     def propagate(self) -> list[tuple[str, float, float]]:
         """Regions whose median moved on by more than the threshold since last told."""
@@ -234,18 +364,19 @@ class Drift:
 
     def clear_key(self, key: str) -> None:
         self.rings.pop(key, None)
+        self.middle.pop(key, None)
 
     def clear_region(self, top: float, bottom: float) -> None:
         low, high = math.floor(top / self.spaces.size), math.floor(bottom / self.spaces.size)
         for key in [k for k in self.rings if low <= int(k.rpartition(":")[2]) <= high]:
-            del self.rings[key]
+            self.clear_key(key)
 
     def reset_propagation(self) -> None:
         self.propagated.clear()
 
 
 def block_key(b: Block, config: Config, dx: int = 0, dy: int = 0) -> str:
-    plain = S.normalize(b.text)
+    plain = b.plain
     if b.view:
         cjk = S.cjk_only(b.text)
         return "vr:" + (cjk[:20] if len(cjk) >= 3 else plain[:30])
@@ -255,21 +386,33 @@ def block_key(b: Block, config: Config, dx: int = 0, dy: int = 0) -> str:
     return f"{'ic:' if b.kind == 'inner' else ''}{lane}{x}:{y}:s{S.half_up(config.scale * 10)}:{plain}"
 
 
+def key_parts(b: Block, config: Config) -> tuple[tuple, int, int]:
+    """What :func:`block_key` is made of: all but the cell, and the cell."""
+    if b.view:
+        return (block_key(b, config),), 0, 0
+    inner = b.kind == "inner"
+    x = S.half_up(b.rect[0] / config.cell_width)
+    y = S.half_up((b.rect[1] - (b.inner_top if inner else 0.0)) / config.cell_height)
+    return (inner, b.hz if b.hz >= 0 else -1, b.plain), x, y
+
+
 def overlaps(new: Block, old: Block, margin: float) -> bool:
-    if new.view != old.view or not same_lane(new, old):
+    if new.view != old.view or not (new.hz < 0 or old.hz < 0 or new.hz == old.hz):
         return False
     a, b = new.rect, old.rect
     if new.kind == old.kind == "inner":
         a, b = S.shift(a, 0, -new.inner_top), S.shift(b, 0, -old.inner_top)
+    w, h = min(a[2] + margin, b[2]) - max(a[0] - margin, b[0]), min(a[3] + margin, b[3]) - max(a[1] - margin, b[1])
+    if not (w > 0 and h > 0):
+        return False
     small = min(S.area(a), S.area(b))
-    grown = (a[0] - margin, a[1] - margin, a[2] + margin, a[3] + margin)
-    return small > 0 and S.common(grown, b) / small >= new.overlap_threshold
+    return small > 0 and w * h / small >= new.overlap_threshold
 
 
 def resolve(new: Block, old: Block, margin: float, fence: float | None = None) -> str:
     if new.weight != old.weight:
         return "evict" if new.weight > old.weight else "drop"
-    mine, theirs = S.area(new.rect), S.area(old.rect)
+    mine, theirs = new.area, old.area
     if mine > 0 and new.quality >= old.quality and theirs > (fence if fence is not None else 3 * mine):
         return "evict"
     need = 0.0 if S.overlap_ratio(new.rect, old.rect, margin) >= 0.70 else 0.1
@@ -293,9 +436,19 @@ class Session:
         self.drift = Drift(spaces)
         self.stats = dict.fromkeys(("primary", "no_primary", "considered", "floor", "spatial", "text", "identified", "admitted"), 0)
         self.next_track = 0
+        #: Whether the last step met a merge that snapping, or a row that the band, would take otherwise.
+        self.snaps = self.bands = self.watch_bands = False
+        self.fits = True  # whether to fit scale and shift of a step
 
     def _space(self, b: Block) -> str:
-        return self.drift.spaces.key(b)
+        return self.drift.key(b)
+
+    def fork(self, config: Config, drift: Drift | None = None) -> Session:
+        """The same state under another configuration; blocks are shared, as none is changed."""
+        out = Session(config, self.spatial, self.merger, None, self.logger, self.clock)
+        out.tracks, out.drift, out.stats, out.next_track = list(self.tracks), drift or self.drift.copy(), dict(self.stats), self.next_track
+        out.fits = self.fits
+        return out
 
     def _tell(self, message: str) -> None:
         if self.logger is not None:
@@ -308,16 +461,17 @@ class Session:
 
     def dedup(self, fresh: list[Block]) -> tuple[list[Block], Grid]:
         """One greedy pass: same key, neighbouring key, then overlap with kept rows."""
-        kept, seen, grid, key_of, spot = [], set(), Grid(self.config), {}, {}
+        kept, seen, grid, key_of, spot = [], {}, Grid(self.config), {}, {}
         for b in fresh:
-            if not S.normalize(b.text):
+            if not b.plain:
                 continue
-            key = block_key(b, self.config)
-            around = () if b.view else ((i, j) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j)
-            if key in seen or any(block_key(b, self.config, i, j) in seen for i, j in around):
+            key, x, y = key_parts(b, self.config)
+            if any(abs(x - i) <= 1 and abs(y - j) <= 1 for i, j in seen.get(key, ())):
                 continue
             margin = self.drift.margin(self._space(b))
-            rival = next((x for x in grid.near(b) if overlaps(b, x, margin)), None)
+            rival = None
+            if b.kind == "inner" or len(kept) > 64 or any(x.rect[0] < b.rect[2] + margin and x.rect[2] > b.rect[0] - margin and x.rect[1] < b.rect[3] + margin and x.rect[3] > b.rect[1] - margin for x in kept):
+                rival = next((x for x in grid.near(b) if overlaps(b, x, margin)), None)
             verdict = "keep" if rival is None else resolve(b, rival, margin)
             if verdict == "drop":
                 self._tell(f"dropped {b.id}: covered by {rival.id}")
@@ -327,70 +481,98 @@ class Session:
                 spot[id(b)] = spot.pop(id(rival))
                 kept[spot[id(b)]] = b
                 grid.remove(rival)
-                seen.discard(key_of.pop(id(rival), None))
+                gone, cell = key_of.pop(id(rival))
+                seen[gone].discard(cell)
             else:
                 spot[id(b)] = len(kept)
                 kept.append(b)
             grid.add(b)
-            seen.add(key)
-            key_of[id(b)] = key
+            seen.setdefault(key, set()).add((x, y))
+            key_of[id(b)] = key, (x, y)
         return kept, grid
 
     # -- matching ---------------------------------------------------------------------
 
-    def find(self, b: Block, grid: Grid, snapshot: dict, *, dry: bool = False) -> tuple[Block | None, str]:
-        """(track, how): 'primary', 'band', 'nested' or 'new'."""
-        c, best, rank, band = self.config, None, None, None
-        dx, dy = snapshot.get(self._space(b), (0.0, 0.0))
-        x, y = S.center(b.rect)
+    def _primary(self, b: Block, grid: Grid, drift: tuple[float, float]) -> Block | None:
+        """The best track whose text matches."""
+        if not b.sig:
+            return None
+        best, rank, view, alike = None, None, b.view, b.alike
         for t in grid.near(b):
-            if t.view != b.view:
+            sig = t.sig
+            lev = alike.get(sig, -1.0)
+            if lev is None:
                 continue
-            lev = jac = 0.0
-            if b.sig and t.sig:
-                lev, jac = S.levenshtein_ratio(b.sig, t.sig), S.jaccard(b.sig, t.sig)
-                if lev >= T.LEVENSHTEIN_MATCH or jac >= T.JACCARD_MATCH:
-                    tx, ty = S.center(t.rect)
-                    order = (-lev, math.hypot(x - dx - tx, y - dy - ty), t.rect[1], t.rect[0], t.rect[2], t.rect[3])
-                    if rank is None or order < rank:
-                        best, rank = t, order
+            if lev < 0:
+                lev = alike[sig] = S.match(b.traits, t.traits, T.LEVENSHTEIN_MATCH, T.JACCARD_MATCH)
+                if lev is None:
                     continue
-            if dry or c.band_mode == "off" or (c.band_mode == "admit" and band is not None):
+            if t.view != view:
                 continue
-            stage = self._band_stage(b, t, lev, jac)
-            self.stats["considered"] += 1
-            self.stats[stage] += 1
-            if stage == "identified" and c.band_mode == "admit":
-                band = t
-        if not dry:
-            self.stats["primary" if best else "no_primary"] += 1
+            (x, y), (tx, ty) = b.center, t.center
+            order = (-lev, math.hypot(x - drift[0] - tx, y - drift[1] - ty), t.rect[1], t.rect[0], t.rect[2], t.rect[3])
+            if rank is None or order < rank:
+                best, rank = t, order
+        return best
+
+    def _banded(self, b: Block, grid: Grid, mode: str) -> Block | None:
+        """The first track that the band identifies; all are counted, up to the first one to be admitted."""
+        found, stats = None, self.stats
+        for t in grid.near(b):
+            if t.view != b.view or (b.alike.get(t.sig) is not None and b.sig and t.sig):
+                continue
+            stage = self._band_stage(b, t)
+            stats["considered"] += 1
+            stats[stage] += 1
+            if stage == "identified" and mode == "admit":
+                found = t
+                break
+        return found
+
+    def _would_band(self, b: Block, grid: Grid) -> bool:
+        return any(t.view == b.view and (b.alike.get(t.sig) is None or not b.sig or not t.sig) and self._band_stage(b, t) == "identified" for t in grid.near(b))
+
+    def find(self, b: Block, grid: Grid, snapshot: dict, *, dry: bool = False, known: tuple | None = None) -> tuple[Block | None, str]:
+        """(track, how): 'primary', 'band', 'nested' or 'new'. ``known`` has the best text match if it was looked for."""
+        best = known[0] if known else self._primary(b, grid, snapshot.get(self._space(b), (0.0, 0.0)))
+        if dry:
+            return (best, "primary") if best is not None else (None, "new")
+        mode = self.config.band_mode
+        band = self._banded(b, grid, mode) if mode != "off" else None
+        self.stats["primary" if best else "no_primary"] += 1
         if best is not None:
             return best, "primary"
-        if dry:
-            return None, "new"
         if band is not None:
             self.stats["admitted"] += 1
             return band, "band"
+        if self.watch_bands and not self.bands:
+            self.bands = self._would_band(b, grid)
         host = self._host(b, grid)
         return (host, "nested") if host else (None, "new")
 
-    def _band_stage(self, b: Block, t: Block, lev: float, jac: float) -> str:
+    def _band_stage(self, b: Block, t: Block) -> str:
         if t.obs < self.config.band_floor:
             return "floor"
         near = self.spatial(b, t) if self.spatial else S.overlap_ratio(b.rect, t.rect, self.drift.margin(self._space(t))) >= 0.80
         if not near:
             return "spatial"
+        lev = jac = 0.0
+        if b.sig and t.sig:
+            lev, jac = S.levenshtein_ratio(b.sig, t.sig), S.jaccard(b.sig, t.sig)
         return "identified" if lev >= self.config.band_lev or jac >= self.config.band_jac else "text"
 
     def _host(self, b: Block, grid: Grid) -> Block | None:
-        mine, found = S.area(b.rect), None
-        nearby = {id(t): t for t in [*grid.region(b.rect), *grid.near(b)]}
-        for t in nearby.values():
-            size = S.area(t.rect)
-            if t.provisional or t.obs < 1 or t.view != b.view or not same_lane(b, t) or not size > mine > 0:
-                continue
-            if S.common(b.rect, t.rect) / mine >= 0.8 and S.best_window(b.sig, t.sig) >= T.LEVENSHTEIN_MATCH and (found is None or size < S.area(found.rect)):
-                found = t
+        mine, found, r, view, lane = b.area, None, b.rect, b.view, b.hz
+        for near in (grid.region(r), grid.near(b)):  # one met twice is taken once, as its size is not less than its own
+            for t in near:
+                if t.area <= mine or t.view != view or t.provisional or t.obs < 1:
+                    continue
+                q, size = t.rect, t.area
+                w, h = min(r[2], q[2]) - max(r[0], q[0]), min(r[3], q[3]) - max(r[1], q[1])
+                if not (w > 0 and h > 0) or not same_lane(b, t) or not size > mine > 0:
+                    continue
+                if w * h / mine >= 0.8 and (found is None or size < found.area) and S.best_window(b.sig, t.sig) >= T.LEVENSHTEIN_MATCH:
+                    found = t
         return found
 
     # -- contradictions ------------------------------------------------------------------
@@ -398,12 +580,16 @@ class Session:
     def grouping(self, fresh: list[Block], batch: Grid) -> list[tuple[Block, list[Block]]]:
         out = []
         for t in self.tracks if len(fresh) >= 2 else ():
-            size, tall = S.area(t.rect), t.rect[3] - t.rect[1]
-            if t.obs < WELL_OBSERVED or t.view or not (tall > 0 and t.rect[2] > t.rect[0]):
+            if t.obs < WELL_OBSERVED or t.view:
+                continue
+            size, tall = t.area, t.rect[3] - t.rect[1]
+            if not (tall > 0 and t.rect[2] > t.rect[0]):
                 continue
             parts = [b for b in batch.region(t.rect) if b.rect[3] - b.rect[1] < 0.7 * tall and S.common(t.rect, b.rect) > 0 and S.common(t.rect, b.rect) / size >= 0.3]
+            if len(parts) < 2:
+                continue
             parts.sort(key=lambda b: b.rect[1])
-            if len(parts) >= 2 and S.levenshtein_ratio(t.sig, S.significant(" ".join(b.text for b in parts))) >= 0.60:
+            if S.levenshtein_ratio(t.sig, S.significant(" ".join(b.text for b in parts))) >= 0.60:
                 out.append((t, parts))
         return out
 
@@ -413,9 +599,11 @@ class Session:
             tall = b.rect[3] - b.rect[1]
             if b.view or not (tall > 0 and b.rect[2] > b.rect[0]):
                 continue
-            parts = [t for t in grid.region(b.rect) if t.obs >= WELL_OBSERVED and id(t) not in used and t.rect[3] - t.rect[1] < 0.7 * tall and S.area(t.rect) > 0 and S.common(b.rect, t.rect) / S.area(t.rect) >= 0.80]
+            parts = [t for t in grid.region(b.rect) if t.obs >= WELL_OBSERVED and id(t) not in used and t.rect[3] - t.rect[1] < 0.7 * tall and t.area > 0 and S.common(b.rect, t.rect) / t.area >= 0.80]
+            if len(parts) < 2:
+                continue
             parts.sort(key=lambda t: t.rect[1])
-            if len(parts) >= 2 and S.levenshtein_ratio(b.sig, S.significant(" ".join(t.text for t in parts))) >= 0.60:
+            if S.levenshtein_ratio(b.sig, S.significant(" ".join(t.text for t in parts))) >= 0.60:
                 used.update(map(id, parts))
                 out.append((b, parts))
         return out
@@ -424,7 +612,11 @@ class Session:
 
     def plan(self, found: list[tuple[Block, Block | None]]) -> dict | None:
         """Translation that a quorum of moved blocks agrees on, with its members."""
-        c, moved, agreeing = self.config, [], []
+        return self.agreed(*self.moves(found), self.config)
+
+    def moves(self, found: list[tuple[Block, Block | None]]) -> tuple[list[tuple], list[tuple]]:
+        """Pairs that moved far, in the order of their displacement, and those near."""
+        moved, agreeing = [], []
         for arrival, (b, t) in enumerate(found):
             if t is None or t.provisional or b.view or b.hz >= 0 or t.hz >= 0:
                 continue
@@ -433,9 +625,16 @@ class Session:
             h = S.height_of(t.rect)
             if math.hypot(dx, dy) > 3 * h:
                 moved.append((dy, dx, t.rect[1], t.rect[0], h, arrival, t, drift))
-            elif c.adopt:
+            else:
                 agreeing.append((dx, dy, h, t, drift))
         moved.sort(key=lambda m: m[:6])
+        return moved, agreeing
+
+    @staticmethod
+    def agreed(moved: list[tuple], agreeing: list[tuple], c: Config) -> dict | None:
+        """The plan of one configuration for these pairs."""
+        if not moved:
+            return None
 
         def window(rows: list[tuple], least: int) -> list[tuple] | None:
             """The first of the largest runs, by displacement, whose members agree.
@@ -476,7 +675,7 @@ class Session:
         members = {id(m[6]): m[7] for m in group}
         tall = S.median([S.height_of(m[6].rect) for m in group])
         adopted = set()
-        for dx, dy, h, t, drift in agreeing:
+        for dx, dy, h, t, drift in agreeing if c.adopt else ():
             if math.hypot(dx - tx, dy - ty) <= c.tolerance * min(h, tall):
                 members[id(t)] = drift
                 adopted.add(id(t))
@@ -486,8 +685,10 @@ class Session:
 
     def _vote(self, b: Block, t: Block) -> dict:
         classes = {**t.classes, b.weight: t.classes.get(b.weight, 0) + 1}
-        top = max(classes.values())
-        lead = next(k for k, v in classes.items() if v == top)
+        lead = b.weight
+        if len(classes) > 1:
+            top = max(classes.values())
+            lead = next(k for k, v in classes.items() if v == top)
         lanes = {**t.lanes, b.hz: t.lanes.get(b.hz, 0) + 1}
         votes = {k: list(v) for k, v in t.votes.items()}
         if not votes and t.sig:
@@ -497,8 +698,10 @@ class Session:
         if len(votes) > MAX_VOTES:
             order = list(votes)
             del votes[min(order, key=lambda k: (votes[k][1], -order.index(k)))]
-        high = max(v[1] for v in votes.values())
-        text, _, sure = next(v for v in votes.values() if v[1] == high)
+        text, high, sure = next(iter(votes.values()))
+        for v in votes.values():
+            if v[1] > high:
+                text, high, sure = v
         if text != t.text:
             tconf = sure
         elif t.text == b.text:
@@ -513,9 +716,9 @@ class Session:
         """(merged track, step response applied) of one pair."""
         c = self.config
         if how == "nested":
-            return replace(t, obs=t.obs + 1, provisional=False, remaining=0, srcq=max(t.srcq, b.srcq), misses=0), None
+            return t.twin(obs=t.obs + 1, provisional=False, remaining=0, srcq=max(t.srcq, b.srcq), misses=0), None
         if t.provisional:
-            return replace(t, provisional=t.remaining > 1, remaining=t.remaining - 1, misses=0), None
+            return t.twin(provisional=t.remaining > 1, remaining=t.remaining - 1, misses=0), None
         if track_drift:
             self.drift.add(b, b.rect[0] - t.rect[0], b.rect[1] - t.rect[1])
         member = plan is not None and id(t) in plan["members"]
@@ -526,21 +729,27 @@ class Session:
         w = b.pconf / (anchor + b.pconf) if anchor + b.pconf > 0 else 0.5
         follows = how != "band" and c.position != "legacy" and not b.view and b.hz < 0 and t.hz < 0
         off = math.hypot(fresh[0] - base[0], fresh[1] - base[1])
+        self.snaps = self.snaps or (follows and off > c.snap_times * scale)
         if follows and c.step == "snap" and off > c.snap_times * scale:
             w, off, response = 1.0, 0.0, "snap"
         elif follows and c.step == "coherent" and member:
             base, response = S.shift(base, plan["tx"], plan["ty"]), "coherent"
             off = math.hypot(fresh[0] - base[0], fresh[1] - base[1])
-        rect = tuple(a * (1 - w) + f * w for a, f in zip(base, fresh))
+        v = 1 - w
+        rect = (base[0] * v + fresh[0] * w, base[1] * v + fresh[1] * w, base[2] * v + fresh[2] * w, base[3] * v + fresh[3] * w)
         n = max(1, t.obs)
         pconf = min(t.pconf + b.pconf, 1.0) if c.position == "legacy" else (t.pconf * n + min(max(1 - off / scale, 0.0), 1.0)) / (n + 1)
         band = how == "band"
-        return replace(t, rect=rect, pconf=pconf, obs=t.obs + 1, provisional=band, remaining=c.band_captures if band else 0, misses=0, **self._vote(b, t)), response
+        return t.twin(rect=rect, pconf=pconf, obs=t.obs + 1, provisional=band, remaining=c.band_captures if band else 0, misses=0, **self._vote(b, t)), response
 
     # -- the step -----------------------------------------------------------------------------
 
     def step(self, capture: list[Block], check=None) -> dict:  # noqa: ANN001
         """Take one capture (also an empty one) and return its decisions."""
+        return self.decide(self.look(capture), check=check)
+
+    def look(self, capture: list[Block]) -> dict:
+        """What a capture says before any decision; the state stays as it is."""
         for i, b in enumerate(capture):
             if not (0 <= b.pconf <= 1 and 0 <= b.tconf <= 1):
                 raise ValueError(f"confidence of block {i} is not in [0, 1]")
@@ -548,10 +757,20 @@ class Session:
         grid = Grid(self.config, self.tracks)
         snapshot = {self._space(b): self.drift.median(self._space(b)) for b in fresh}
         grouped, split = self.grouping(fresh, batch), self.splitting(fresh, grid)
+        found = [self._primary(b, grid, snapshot[self._space(b)]) for b in fresh]
+        return {"fresh": fresh, "grid": grid, "snapshot": snapshot, "grouping": grouped, "splitting": split, "found": found}
+
+    def planned(self, seen: dict, configs: list[Config]) -> list[dict | None]:
+        """The plan of the capture for each of these configurations."""
+        moved, agreeing = self.moves(list(zip(seen["fresh"], seen["found"])))
+        return [self.agreed(moved, agreeing, c) if c.step == "coherent" and c.position != "legacy" else None for c in configs]
+
+    def decide(self, seen: dict, plans: list[dict | None] | None = None, check=None) -> dict:  # noqa: ANN001
+        """The decisions on a capture that :meth:`look` saw in this state."""
+        fresh, grid, snapshot, grouped, split = (seen[k] for k in ("fresh", "grid", "snapshot", "grouping", "splitting"))
+        plan = (plans or self.planned(seen, [self.config]))[0]
+        self.snaps = self.bands = False
         contradicted = {id(t) for t, _ in grouped}
-        plan = None
-        if self.config.step == "coherent" and self.config.position != "legacy":
-            plan = self.plan([(b, self.find(b, grid, snapshot, dry=True)[0]) for b in fresh])
         stable: list[Block] = []
         log, nested, pairs, matched = [], [], [], {}
         invalid, settled, members, adopted, merged, admitted = [], [], 0, 0, 0, 0
@@ -559,6 +778,7 @@ class Session:
         def admit(b: Block) -> None:
             nonlocal admitted
             b.track, self.next_track, admitted = self.next_track, self.next_track + 1, admitted + 1
+            b.__dict__.pop("alike", None)
             stable.append(b)
             log.append(("admit", b, None, b, None))
 
@@ -582,15 +802,15 @@ class Session:
                 settled.append(out.text)
             return response
 
-        for b in fresh:
-            t, how = self.find(b, grid, snapshot)
+        for b, best in zip(fresh, seen["found"]):
+            t, how = self.find(b, grid, snapshot, known=(best,))
             if t is None:
                 admit(b)
             elif how == "nested":
                 nested.append((b, t))
             else:
                 if how != "band" and not t.provisional and not b.view and b.hz < 0 and t.hz < 0:
-                    pairs.append((*S.center(t.rect), *S.center(b.rect)))
+                    pairs.append((*t.center, *b.center))
                 if take(b, t, how) == "coherent":
                     members += 1
                     adopted += id(t) in plan["adopted"]
@@ -605,7 +825,7 @@ class Session:
         self.tracks = [*stable, *retained]
         return {
             "stable": stable, "retained": retained, "dropped": dropped, "merged": merged, "admitted": admitted, "log": log, "grouping": grouped, "splitting": split,
-            "invalidated": invalid, "settled": settled, "fit": fit(pairs, self.config.fit_pairs),
+            "invalidated": invalid, "settled": settled, "fit": fit(pairs, self.config.fit_pairs) if self.fits else None,
             "shift": {"tx": plan["tx"], "ty": plan["ty"], "members": members, "adopted": adopted, "source": plan["source"]} if plan and members else None,
         }
 
@@ -614,16 +834,18 @@ class Session:
         if not self.config.missed_frames:
             return [], len(rest)
         covered = set()
-        for b in stable:
-            for t in {id(t): t for t in [*grid.region(b.rect), *grid.near(b)]}.values():
-                if id(t) not in matched and b.view == t.view and same_lane(b, t) and S.area(t.rect) > 0 and S.common(b.rect, t.rect) > 0:
-                    if S.common(b.rect, t.rect) / S.area(t.rect) >= max(t.overlap_threshold, 0.5):
+        for b in stable if rest else ():
+            r = b.rect
+            for t in (*grid.region(r), *grid.near(b)):
+                q = t.rect
+                w, h = min(r[2], q[2]) - max(r[0], q[0]), min(r[3], q[3]) - max(r[1], q[1])
+                if w > 0 and h > 0 and id(t) not in matched and b.view == t.view and same_lane(b, t) and t.area > 0:
+                    if w * h / t.area >= max(t.overlap_threshold, 0.5):
                         covered.add(id(t))
         kept = []
         for t in rest:
             if id(t) not in covered and t.misses + 1 <= self.config.missed_frames:
-                t.misses += 1
-                kept.append(t)
+                kept.append(t.twin(misses=t.misses + 1))
         return kept, len(rest) - len(kept)
 
     def uncorrected(self, key: str) -> list[Block]:

@@ -761,8 +761,8 @@ def q_capture_boxes(spark: SparkSession, d: str) -> DataFrame:
 # --- order-dependent plans and reports -----------------------------------------------------
 
 
-def _replayed(spark: SparkSession, d: str, arms: dict | None = None) -> DataFrame:
-    return replay.replay(_obs(spark, d), arms, table(spark, d, "captures"))
+def _replayed(spark: SparkSession, d: str, arms: dict | None = None, **log) -> DataFrame:  # noqa: ANN003
+    return replay.replay(_obs(spark, d), arms, table(spark, d, "captures"), **log)
 
 
 @query()
@@ -816,7 +816,7 @@ def q_signatures(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def q_ab_bands(spark: SparkSession, d: str) -> DataFrame:
     """A22, ST15, ST17: movement by maturity under every arm."""
-    return reports.displacement_bands(_replayed(spark, d, replay.ARMS))
+    return reports.displacement_bands(_replayed(spark, d, replay.ARMS, events=("merge",), columns=("arm", "event", "how", "obs_before", "dx", "dy")))
 
 
 @query()
