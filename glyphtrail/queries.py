@@ -828,7 +828,7 @@ def q_arm_summary(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def q_arm_digests(spark: SparkSession, d: str) -> DataFrame:
     """One digest for each arm."""
-    return reports.arm_digests(_replayed(spark, d, replay.ARMS))
+    return reports.arm_digests(_replayed(spark, d, replay.ARMS, events=("capture",), columns=("session_id", "arm", "cap", "event", "digest")))
 
 
 @query()

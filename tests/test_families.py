@@ -72,6 +72,7 @@ def test_match_gives_up_no_pair_that_matches():
 # What of the log each report of the arms has no use for.
 UNUSED = {
     "q_ab_bands": ("digest", "residual", "session_id", "top_lag"),
+    "q_arm_digests": ("top_lag", "residual", "how", "dx"),
 }
 
 
