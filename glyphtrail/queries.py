@@ -822,7 +822,7 @@ def q_ab_bands(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def q_arm_summary(spark: SparkSession, d: str) -> DataFrame:
     """Confidence, saturation, lag and step events of every arm."""
-    return reports.arm_summary(_replayed(spark, d, replay.ARMS))
+    return reports.arm_summary(_replayed(spark, d, replay.ARMS, events=("merge",), columns=("arm", "event", "how", "obs_before", "top_lag", "pconf", "response")))
 
 
 @query()

@@ -73,6 +73,7 @@ def test_match_gives_up_no_pair_that_matches():
 UNUSED = {
     "q_ab_bands": ("digest", "residual", "session_id", "top_lag"),
     "q_arm_digests": ("top_lag", "residual", "how", "dx"),
+    "q_arm_summary": ("digest", "residual", "session_id", "dx"),
 }
 
 
