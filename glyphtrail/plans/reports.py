@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphtrail.functions.stats import share
@@ -51,6 +51,17 @@ def arm_digests(log: DataFrame) -> DataFrame:
     return rows.groupBy("arm").agg(F.count(F.lit(1)).alias("captures"), F.sha2(F.sum(part).cast("string"), 256).alias("digest"))
 
 
+def _beside_damp(rows: DataFrame, **columns: str) -> DataFrame:
+    """Rows of sessions that have a damped arm, with that arm's columns under new names.
+
+    ``rows`` has one row for each session and arm. A join of the log with itself would
+    replay it again for each side.
+    """
+    damped, session = F.col("arm") == "damp", Window.partitionBy("session_id")
+    out = rows.withColumns({"_damped": F.max(damped).over(session)} | {new: F.max(F.when(damped, F.col(old))).over(session) for old, new in columns.items()})
+    return out.where("_damped").drop("_damped")
+
+
 def step_rule(log: DataFrame, move: int = 7, after: tuple[int, ...] = (0, 3, 5)) -> DataFrame:
     """Lag of every arm at the move and some captures later, against half of the damped arm's.
 
@@ -69,8 +80,7 @@ def step_rule(log: DataFrame, move: int = 7, after: tuple[int, ...] = (0, 3, 5))
 def half_of_damp(log: DataFrame) -> DataFrame:
     """Arms whose mean lag stays within half of the damped arm's."""
     lag = log.where("event = 'merge'").groupBy("session_id", "arm").agg(F.avg("top_lag").alias("lag"))
-    damp = lag.where("arm = 'damp'").select("session_id", F.col("lag").alias("damp"))
-    return lag.join(damp, "session_id").groupBy("arm").agg(F.count(F.lit(1)).alias("sessions"), F.count(F.when(F.col("lag") <= 0.5 * F.col("damp"), 1)).alias("passing"), F.round(F.min("lag"), 4).alias("lowest"), F.round(F.max("lag"), 4).alias("highest"))
+    return _beside_damp(lag, lag="damp").groupBy("arm").agg(F.count(F.lit(1)).alias("sessions"), F.count(F.when(F.col("lag") <= 0.5 * F.col("damp"), 1)).alias("passing"), F.round(F.min("lag"), 4).alias("lowest"), F.round(F.max("lag"), 4).alias("highest"))
 
 
 def freeze_report(freezes: DataFrame, merges: DataFrame) -> DataFrame:

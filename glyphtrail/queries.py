@@ -834,7 +834,7 @@ def q_arm_digests(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def q_half_of_damp(spark: SparkSession, d: str) -> DataFrame:
     """Arms that halve the lag of damping."""
-    return reports.half_of_damp(_replayed(spark, d, replay.ARMS))
+    return reports.half_of_damp(_replayed(spark, d, replay.ARMS, events=("merge",), columns=("session_id", "arm", "event", "top_lag")))
 
 
 @query()
