@@ -69,12 +69,11 @@ def step_rule(log: DataFrame, move: int = 7, after: tuple[int, ...] = (0, 3, 5))
     the damped arm has, the lag is there and at most half of the damped one. ``move`` is
     the place of the capture at which the page moved, counted from 0.
     """
-    lags = log.where((F.col("event") == "merge") & F.col("cap").isin(*[move + o for o in after])).groupBy("session_id", "arm").agg(*[F.avg(F.when(F.col("cap") == move + o, F.col("top_lag"))).alias(f"lag_{o}") for o in after])
-    arms = log.where("event = 'capture'").select("session_id", "arm").distinct()
-    lags = arms.join(lags, ["session_id", "arm"], "left")
-    damp = lags.where("arm = 'damp'").select("session_id", *[F.col(f"lag_{o}").alias(f"damp_{o}") for o in after])
+    merged, seen = F.col("event") == "merge", F.max(F.col("event") == "capture")
+    lags = log.groupBy("session_id", "arm").agg(seen.alias("seen"), *[F.avg(F.when(merged & (F.col("cap") == move + o), F.col("top_lag"))).alias(f"lag_{o}") for o in after]).where("seen")
+    lags = _beside_damp(lags, **{f"lag_{o}": f"damp_{o}" for o in after})
     fine = [F.col(f"damp_{o}").isNull() | F.coalesce(F.col(f"lag_{o}") <= F.col(f"damp_{o}") / 2, F.lit(False)) for o in after]
-    return lags.join(damp, "session_id").select("session_id", "arm", *[F.round(f"lag_{o}", 4).alias(f"lag_{o}") for o in after], reduce(Column.__and__, fine).alias("passes"))
+    return lags.select("session_id", "arm", *[F.round(f"lag_{o}", 4).alias(f"lag_{o}") for o in after], reduce(Column.__and__, fine).alias("passes"))
 
 
 def half_of_damp(log: DataFrame) -> DataFrame:

@@ -840,7 +840,7 @@ def q_half_of_damp(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def q_step_rule(spark: SparkSession, d: str) -> DataFrame:
     """Lag of every arm at a move, three and five captures later, against the damped arm."""
-    return reports.step_rule(_replayed(spark, d, replay.ARMS))
+    return reports.step_rule(_replayed(spark, d, replay.ARMS, events=("merge", "capture"), columns=("session_id", "arm", "cap", "event", "top_lag")))
 
 
 @query()

@@ -75,6 +75,7 @@ UNUSED = {
     "q_arm_digests": ("top_lag", "residual", "how", "dx"),
     "q_arm_summary": ("digest", "residual", "session_id", "dx"),
     "q_half_of_damp": ("digest", "residual", "how", "dx"),
+    "q_step_rule": ("digest", "residual", "how", "dx"),
 }
 
 
